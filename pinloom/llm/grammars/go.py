@@ -37,8 +37,11 @@ def lex(text: str) -> Tokens:
         if kind == "NL" or (kind == "block" and "\n" in word):
             if kinds and kinds[-1] in _ENDS:
                 out.add(";", "\n", pos)
+            if kind == "block":
+                out.comments.append((pos, m.end()))
         elif kind in ("space", "comment", "block"):
-            pass
+            if kind != "space":
+                out.comments.append((pos, m.end()))
         elif kind == "op":
             out.add(word, word, pos)
         elif kind == "NAME":
@@ -49,8 +52,6 @@ def lex(text: str) -> Tokens:
                 out.add("BAD", word, pos)
                 out.problem = "number"
                 break
-            if kind == "STR" and word[0] == "`":
-                kind = "STR"
             out.add(kind, word, pos)
         pos = m.end()
     if kinds and kinds[-1] in _ENDS:

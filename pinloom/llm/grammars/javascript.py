@@ -61,9 +61,11 @@ def lex(text: str) -> tuple[Tokens, dict[int, bool]]:
             newline, pos = True, end
             continue
         if kind == "comment":
+            out.comments.append((pos, end))
             pos = end
             continue
         if kind == "block":
+            out.comments.append((pos, end))
             newline = newline or "\n" in word or "\r" in word or "\u2028" in word
             pos = end
             continue

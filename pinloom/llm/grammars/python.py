@@ -179,7 +179,7 @@ class Lexer:
         binary = "b" in prefix
         if (binary and not body.isascii()) or ("r" not in prefix and bad_escape(body, binary)):
             raise LexError(pos, "string")
-        self.out.add("BYTES" if binary else "STR", "", pos)
+        self.out.add("BYTES" if binary else "STR", s[pos : m.end()], pos)
         return m.end()
 
     def formatted(self, pos: int, quote: str, raw: bool, depth: int) -> int:

@@ -42,6 +42,8 @@ def lex(text: str) -> Tokens:
             break
         kind, word, end = m.lastgroup, m.group(), m.end()
         if kind in ("space", "comment"):
+            if kind == "comment":
+                out.comments.append((pos, end))
             spaced, pos = True, end
             continue
         if kind == "block":
@@ -52,6 +54,7 @@ def lex(text: str) -> Tokens:
             if depth:
                 bad("comment")
                 break
+            out.comments.append((pos, end))
             spaced, pos = True, end
             continue
         token = kind

@@ -108,6 +108,7 @@ class Tokens:
     offsets: list[int] = field(default_factory=list)
     newline: list[bool] = field(default_factory=list)
     joined: list[bool] = field(default_factory=list)
+    comments: list[tuple[int, int]] = field(default_factory=list)
     problem: str = ""
 
     def add(self, kind: str, text: str, offset: int, newline: bool = False, joined: bool = False) -> None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pinloom.llm import leakage, packing, spans, splitting
+from pinloom.llm import functions, leakage, packing, parsing, spans, splitting
 from pinloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,3 +107,33 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     """The pieces of the documents above the limit."""
     return splitting.split_texts(table(spark, d, "documents"))
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The files that the grammar of the language their name claims doesn't accept."""
+    return parsing.parse_files(table(spark, d, "verified_bytes")).where("NOT valid").select("file_id")
+
+
+@query("p5_files")
+def p5_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every parsed file, with the furthest failure and its cause."""
+    return parsing.parse_files(table(spark, d, "verified_bytes"))
+
+
+@query("p5_rates")
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of files that do not parse, per repository and language."""
+    return parsing.failure_rates(parsing.parse_files(table(spark, d, "verified_bytes"))).drop("causes")
+
+
+@query("p7_found")
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """The functions with documentation of their own that says something."""
+    return functions.documented_functions(table(spark, d, "verified_bytes"), inherit=False).select("file_id", "start_line", "name")
+
+
+@query("p7_pairs")
+def p7_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of function and description, inherited descriptions included."""
+    return functions.documented_functions(table(spark, d, "verified_bytes"))
