@@ -13,7 +13,7 @@ KEYWORDS = frozenset(
     lambda nonlocal not or pass raise return try while with yield""".split()
 )
 
-_BLANK = re.compile(r"[ \t\f]*")
+_BLANK, _LINE = re.compile(r"[ \t\f]*"), re.compile(r"[^\r\n]*")
 _TOKEN = re.compile(
     r"""(?P<NAME>[^\W\d]\w*)
     |(?P<NUM>0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+
@@ -81,7 +81,9 @@ class Lexer:
                 if at >= n:
                     break
                 if s[at] in "#\r\n":
-                    comment = re.compile(r"#?[^\r\n]*").match(s, at).end() if s[at] == "#" else at
+                    comment = _LINE.match(s, at).end() if s[at] == "#" else at
+                    if comment > at:
+                        out.comments.append((at, comment))
                     pos = comment + (2 if s.startswith("\r\n", comment) else 1)
                     continue
                 if s[at] == "\\" and (m2 := _TOKEN.match(s, at)) and m2.lastgroup == "cont":
@@ -162,6 +164,8 @@ class Lexer:
             if _ZEROS.match(word):
                 raise LexError(pos, "number")
             out.add("NUM", word, pos)
+        elif kind == "comment":
+            out.comments.append((pos, end))
         return kind, end
 
     def string(self, pos: int, at: int, prefix: str) -> int:

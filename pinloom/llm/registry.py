@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pinloom.llm import functions, leakage, packing, parsing, spans, splitting
+from pinloom.llm import foreign, functions, leakage, packing, parsing, spans, splitting
 from pinloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,3 +137,24 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 def p7_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of function and description, inherited descriptions included."""
     return functions.documented_functions(table(spark, d, "verified_bytes"))
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The source files that nobody wrote by hand here."""
+    ours = foreign.foreign_files(table(spark, d, "verified_bytes")).select(F.lit("verified_bytes").alias("record_set"), F.col("file_id").alias("record_id"), "class")
+    theirs = foreign.foreign_files(table(spark, d, "recipient_entries"), "entry_id", slug="project_root_identity")
+    both = ours.unionByName(theirs.select(F.lit("recipient_entries").alias("record_set"), F.col("entry_id").alias("record_id"), "class"))
+    return both.where("class NOT IN ('hand-written', 'invalid')").select("record_set", "record_id")
+
+
+@query("p4_files")
+def p4_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every source file with its class and the evidence."""
+    return foreign.foreign_files(table(spark, d, "verified_bytes"))
+
+
+@query("p4_shared_rules")
+def p4_shared_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Grammar rules that files share with other repositories."""
+    return foreign.shared_rules(table(spark, d, "verified_bytes"))
