@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pinloom.llm import foreign, functions, leakage, packing, parsing, spans, splitting
+from pinloom.llm import foreign, functions, leakage, licenses, packing, parsing, spans, splitting
 from pinloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,3 +158,15 @@ def p4_files(spark: SparkSession, d: str) -> DataFrame:
 def p4_shared_rules(spark: SparkSession, d: str) -> DataFrame:
     """Grammar rules that files share with other repositories."""
     return foreign.shared_rules(table(spark, d, "verified_bytes"))
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The licence of each source file and pin."""
+    return licenses.resolved_licences(table(spark, d, "verified_bytes"), table(spark, d, "license_evidence")).drop("source")
+
+
+@query("p3_sources")
+def p3_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The same with what decided."""
+    return licenses.resolved_licences(table(spark, d, "verified_bytes"), table(spark, d, "license_evidence"))
