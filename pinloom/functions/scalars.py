@@ -70,7 +70,7 @@ def module_name(path: Column) -> Column:
 
 def age_score(released: Column, observed: Column) -> Column:
     """100, 75, 50 or 25 by whole days between two times; 50 if unknown or if the order is wrong."""
-    days = F.floor((F.unix_micros(observed) - F.unix_micros(released)) / 86_400_000_000)
+    days = F.floor((F.unix_micros(observed.cast("timestamp")) - F.unix_micros(released.cast("timestamp"))) / 86_400_000_000)
     known = released.isNotNull() & observed.isNotNull() & (released <= observed)
     return F.when(~F.coalesce(known, F.lit(False)), 50).when(days <= 365, 100).when(days <= 1095, 75).when(days <= 1825, 50).otherwise(25)
 
