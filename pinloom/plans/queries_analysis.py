@@ -352,10 +352,10 @@ def package_urls(spark: SparkSession, d: str) -> DataFrame:
     return t.select("*", S.package_url(F.col("ecosystem"), F.col("name"), F.col("version")).alias("purl"))
 
 
-@query("stable_release", r"""WITH t AS (SELECT DISTINCT name, 'v' || version AS tag FROM declared_dependencies WHERE regexp_matches(version, '^[0-9]+\.[0-9]+\.[0-9]+$')), k AS (SELECT *, list_transform(string_split(ltrim(tag, 'v'), '.'), lambda x: CAST(x AS BIGINT)) AS p FROM t) SELECT name, first(tag ORDER BY p[1] DESC, p[2] DESC, p[3] DESC, tag) AS latest FROM k GROUP BY name""")
+@query("stable_release", r"""WITH t AS (SELECT DISTINCT ecosystem AS name, 'v' || version || '.0' AS tag FROM declared_dependencies WHERE regexp_matches(version, '^[0-9]+\.[0-9]+$')), k AS (SELECT *, list_transform(string_split(ltrim(tag, 'v'), '.'), lambda x: CAST(x AS BIGINT)) AS p FROM t) SELECT name, first(tag ORDER BY p[1] DESC, p[2] DESC, p[3] DESC, tag) AS latest FROM k GROUP BY name""")
 def stable_release(spark: SparkSession, d: str) -> DataFrame:
     """The latest stable tag of each name."""
-    t = table(spark, d, "declared_dependencies").select("name", F.concat(F.lit("v"), "version").alias("tag")).distinct().withColumn("v", S.stable_version(F.col("tag"))).where("v IS NOT NULL")
+    t = table(spark, d, "declared_dependencies").select(F.col("ecosystem").alias("name"), F.concat(F.lit("v"), "version", F.lit(".0")).alias("tag")).distinct().withColumn("v", S.stable_version(F.col("tag"))).where("v IS NOT NULL")
     return t.groupBy("name").agg(F.max_by("tag", "v").alias("latest"))
 
 

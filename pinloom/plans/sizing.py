@@ -24,21 +24,26 @@ def small_enough(df: DataFrame, limit: int = BROADCAST_LIMIT) -> bool:
     return estimated_bytes(df) <= limit
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage by checkpoint(), in the folder the session names for it.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from spark.checkpoint.dir; only a session on one machine gets one made.
 
-    The folder comes from spark.checkpoint.dir. Only where that is unset, as in tests on one machine, a temporary one is
-    made.
+    The folder is set for checkpoints too.
     """
-    spark: SparkSession = df.sparkSession
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not context.master.startswith("local["):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="pinloom-")
-        context.setCheckpointDir(folder)
+    if not context._jsc.sc().getCheckpointDir().isEmpty():
+        return str(context._jsc.sc().getCheckpointDir().get())
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="pinloom-")
+    context.setCheckpointDir(folder)
+    return str(context._jsc.sc().getCheckpointDir().get())
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage by checkpoint(), in the folder the session names for it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
