@@ -12,8 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: How often a JSON string that holds JSON is opened.
-MAX_WRAPS = 2
+#: How often a JSON string that holds JSON is opened; each time is an expression within the next.
+MAX_WRAPS = 1
 
 
 @dataclass(frozen=True)
@@ -35,10 +35,19 @@ class Target:
     fields: tuple[Field, ...] = ()
 
 
+def _listed(text: Column) -> Column:
+    return F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+
+
+def _boxed_keys(text: Column) -> Column:
+    return F.map_keys(F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))), "$", "map<string,variant>"))
+
+
 def unwrapped(text: Column) -> Column:
     """The text, or, where it is one JSON string and nothing else, what that string holds."""
     for _ in range(MAX_WRAPS):
-        text = F.when(text.rlike(r'^[ \t\r\n]*"(?:[^"\\]|\\.)*+"[ \t\r\n]*$'), F.try_variant_get(F.try_parse_json(text), "$", "string")).otherwise(text)
+        inner = F.when((F.size(_listed(text)) == 1) & (F.size(_boxed_keys(text)) == 1), F.try_variant_get(F.get(_listed(text), 0), "$", "string"))
+        text = F.when(F.ltrim(text).startswith('"'), inner).otherwise(text)
     return text
 
 
@@ -50,8 +59,7 @@ def opened(df: DataFrame, keys: Sequence[str], payload: str, root: str) -> DataF
     """
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # valid JSON; the last one counts
     texts = df.select(*[F.col(f"`{k}`") for k in keys], unwrapped(F.col(f"`{payload}`")).alias("_text")).distinct()
-    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), "_text", F.lit("]"))), "$", "array<variant>")
-    boxed = F.map_keys(F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"v":'), "_text", F.lit("}"))), "$", "map<string,variant>"))
+    listed, boxed = _listed(F.col("_text")), _boxed_keys(F.col("_text"))
     # an element or a key that the text itself adds shows in the sizes
     return texts.withColumn("_listed", listed).where((F.size("_listed") == 1) & (F.size(boxed) == 1)).withColumn(root, F.col("_listed")[0]).drop("_text", "_listed")
 

@@ -8,15 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_LIMIT = 32 << 20
 
 
+#: Sizes from here on are those that Spark gives to what it can't estimate.
+UNKNOWN = 1 << 55
+
+
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df``: for a file scan, the bytes of its files."""
+    """Catalyst's size estimate of ``df``. Of joins it is a product, so it serves as an upper bound only."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """The bytes of the tables that ``df`` reads, each as often as it is read; inputs of unknown size count nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return sum(s for s in sizes if s < UNKNOWN)
+
+
 def partitions_for(df: DataFrame, target_bytes: int = 32 << 20, per_byte: float = 1.0) -> int:
-    """Partitions that hold about ``target_bytes`` each, at least ``spark.sql.shuffle.partitions``."""
+    """Partitions that hold about ``target_bytes`` of the input each, at least ``spark.sql.shuffle.partitions``."""
     floor = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(floor, min(200_000, int(estimated_bytes(df) * per_byte / target_bytes) + 1))
+    return max(floor, min(200_000, int(input_bytes(df) * per_byte / target_bytes) + 1))
 
 
 def small_enough(df: DataFrame, limit: int = BROADCAST_LIMIT) -> bool:
