@@ -17,13 +17,12 @@ from pyspark.sql import functions as F
 
 from pinloom.llm.arrow import batches_of
 from pinloom.llm.fm_index import FMIndex
-from pinloom.plans.sizing import estimated_bytes
 
 WORD = re.compile(r"[^\W_]+")
 PHRASE = 13
 #: Words of one index; a longer partition gives several.
 SHARD_WORDS = 6_000_000
-#: Stored bytes of test items that are searched for at once; more are searched for in blocks.
+#: Bytes of test items that are searched for at once; more are searched for in blocks.
 BLOCK_BYTES = 8 << 20
 #: Located occurrences are handled in portions of this many.
 PORTION = 1 << 20
@@ -180,7 +179,8 @@ def _search(df: DataFrame, phrases: Phrases, key: str, text: str, spans: bool) -
 
 def _blocks(items: DataFrame, item_key: str, text: str, phrase: int) -> Iterator[Phrases]:
     """The test items in blocks of a bounded size; each is gathered by itself, as the stated query set."""
-    count = int(estimated_bytes(items) / BLOCK_BYTES) + 1
+    size = items.agg(F.sum(F.octet_length(f"`{text}`")).alias("size")).collect()[0]["size"]
+    count = int((size or 0) / BLOCK_BYTES) + 1
     wanted = items.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{item_key}`").cast("long"), F.col(f"`{text}`"))
     for k in range(count):
         part = wanted if count == 1 else wanted.where(F.pmod(F.xxhash64(F.col(f"`{item_key}`")), F.lit(count)) == k)

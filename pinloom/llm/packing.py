@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pinloom.llm.tokenizers import FOLDER, counter
-from pinloom.plans.sizing import estimated_bytes
+from pinloom.plans.sizing import input_bytes
 
 CAPACITY = 8192
 #: Stored bytes of a shard. A shard wastes at most a few containers, of the tens of thousands it fills.
@@ -145,7 +145,7 @@ def pack_texts(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer
     rest; every other text is one piece. Null and empty texts have 0 tokens and are assigned too. Repeated rows are repeated
     items. Other columns are ignored. An empty table gives an empty result.
     """
-    shards = int(estimated_bytes(df) / SHARD_BYTES) + 1
+    shards = int(input_bytes(df) / SHARD_BYTES) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
