@@ -149,7 +149,7 @@ word = 'NAME' / {_WORDS}
 
 statement = block / variable / function / class / asyncfn / ';' / if / for / while / dowhile
   / 'continue' (#nonl 'NAME')? end / 'break' (#nonl 'NAME')? end / 'return' (#nonl expression)? end / 'throw' #nonl expression end
-  / switch / try / 'debugger' end / 'NAME' ':' statement / expression end
+  / switch / try / 'debugger' end / 'NAME' ':' statement / !('{{' / 'function' / 'class') expression end
 block = '{{' statement* '}}'
 variable = 'const' list<constant> end / ('let' / 'var') list<binding ('=' assign)?> end
 constant = named '=' arrow / named '=' assign / binding '=' assign
@@ -168,7 +168,7 @@ function = 'function' '*'? fname params block
 fname@ = 'NAME'
 asyncfn = "async" #nonl 'function' '*'? fname params block
 params = '(' (list<binding ('=' assign)? &(',' / ')')>? (','? '...' binding)? ','?) ')'
-class = 'class' ('NAME')? ('extends' lhs)? body
+class = 'class' 'NAME' ('extends' lhs)? body
 body = '{{' member* '}}'
 member = ';' / 'static' block / 'static'? method / 'static'? field
 method = (modifier)* mname params block

@@ -64,7 +64,7 @@ def lex(text: str) -> Tokens:
                 bad("string")
                 break
         elif kind == "op":
-            token = word
+            token = "DOLLAR" if word == "$" else word
         elif kind == "NUM" and not _PLAIN_NUM.match(word):
             bad("number")
             break
@@ -79,7 +79,7 @@ def lex(text: str) -> Tokens:
 
 _EXPRESSIONS = """
 exprS! = rangeS (aop exprS)?
-rangeS = ('..=' / '..') NOBRACE rangeS? / binaryS (('..=' / '..') NOBRACE binaryS?)?
+rangeS = ('..=' / '..') (NOBRACE rangeS)? / binaryS (('..=' / '..') (NOBRACE binaryS)?)?
 binaryS = castS (bop castS)*
 castS = unaryS ('as' typenb)*
 unaryS = ('-' / '!' / '*') unaryS / ('&' / '&&') ("raw" ('const' / 'mut') / 'mut')? unaryS / closureS / postfixS

@@ -301,7 +301,7 @@ class Grammar:
         return space
 
     def _run(self, space: dict, tokens: Tokens, arrows: dict | None) -> int:
-        space["T"], space["X"], space["N"], space["J"], space["A"] = tokens.kinds, tokens.texts, tokens.newline, tokens.joined, arrows or {}
+        space["T"], space["X"], space["N"], space["J"], space["A"] = tokens.kinds, tokens.texts, tokens.newline, tokens.joined, {} if arrows is None else arrows
         space["C"].clear()
         space["F"][0] = 0
         for n in self.memo:
