@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +25,26 @@ def trigrams(content: Column) -> Column:
     return F.when(n >= 3, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
 
 
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces each content by its distinct trigrams, as numbers in order."""
+    for batch in batches:
+        codes = []
+        for content in batch.column("content").to_pylist():
+            b = np.frombuffer(content or b"", np.uint8).astype(np.int32)
+            codes.append(np.unique((b[:-2] << 16) | (b[1:-1] << 8) | b[2:]) if len(b) > 2 else np.zeros(0, np.int32))
+        offsets = np.concatenate([[0], np.cumsum([len(c) for c in codes])]).astype(np.int32)
+        flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in KEY], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))], names=[*KEY, "_grams"])
+
+
 def index(blobs: DataFrame) -> DataFrame:
-    """Rows (gram, key of the blob). Kept as rows: a common gram's list of blobs would not fit one."""
-    return blobs.select(*KEY, F.explode(trigrams(F.col("content"))).alias("gram"))
+    """Rows (gram, key of the blob). Kept as rows: a common gram's list of blobs would not fit one.
+
+    The windows of a blob are made in numpy, from whole Arrow batches; one row leaves Python for each blob.
+    """
+    source = blobs.select(*KEY, F.col("content").cast("binary").alias("content"))
+    grams = source.mapInArrow(_codes, ", ".join(f"{c} string" for c in KEY) + ", _grams array<int>")
+    return grams.select(*KEY, F.explode("_grams").alias("_code")).select(*KEY, F.lower(F.lpad(F.hex("_code"), 6, "0")).alias("gram"))
 
 
 def postings(blobs: DataFrame) -> DataFrame:
