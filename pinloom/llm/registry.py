@@ -77,10 +77,11 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 _LEAK_SQL = r"""
 WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: lower(w)) AS ws FROM documents),
 i AS (SELECT item_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: lower(w)) AS ws FROM eval_items),
-ip AS (SELECT DISTINCT item_id, least(len(ws), 13) AS n, array_to_string(ws[k:k + least(len(ws), 13) - 1], ' ') AS g FROM i, range(1, 100000) AS t(k) WHERE k <= len(ws) - least(len(ws), 13) + 1 AND len(ws) > 0),
-ns AS (SELECT DISTINCT n FROM ip),
-dp AS (SELECT doc_id, n, unnest(list_transform(range(1, len(ws) - n + 2), lambda k: array_to_string(ws[k:k + n - 1], ' '))) AS g FROM d, ns WHERE len(ws) >= n)
-SELECT DISTINCT doc_id, item_id FROM dp JOIN ip USING (n, g)
+ip AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(ws) - 11), lambda k: array_to_string(ws[k:k + 12], ' '))) AS g FROM i WHERE len(ws) >= 13),
+dp AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 11), lambda k: array_to_string(ws[k:k + 12], ' '))) AS g FROM d WHERE len(ws) >= 13),
+s AS (SELECT item_id, ' ' || array_to_string(ws, ' ') || ' ' AS g FROM i WHERE len(ws) BETWEEN 1 AND 12),
+t AS (SELECT doc_id, ' ' || array_to_string(ws, ' ') || ' ' AS j FROM d)
+SELECT DISTINCT doc_id, item_id FROM dp JOIN ip USING (g) UNION SELECT doc_id, item_id FROM t JOIN s ON contains(j, g)
 """.strip()
 
 
