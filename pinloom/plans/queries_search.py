@@ -37,7 +37,7 @@ def _search(name: str, spec: SearchSpec, where: str, score: str, kinds: str, wit
 
     @query(name, sql)
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return search(document_blobs(table(spark, d, "documents")).where("path NOT LIKE '%.js'"), spec).matches
+        return search(document_blobs(table(spark, d, "documents")), spec).matches
 
 
 _LEDGER, _ADAPTER, _CACHE = Predicate("identifier", "ledger"), Predicate("exact_text", "adapter"), Predicate("exact_text", "cache")
@@ -90,21 +90,21 @@ SELECT slug, commit_sha, path, blob_sha, start_line, end_line, score, CASE WHEN
 @query("ranked_matches", _RANKED)
 def ranked_matches(spark: SparkSession, d: str) -> DataFrame:
     """Matches in their total order with ranks."""
-    report = search(document_blobs(table(spark, d, "documents")).where("path NOT LIKE '%.js'"), plain(_ADAPTER, should=(_LEDGER, _CACHE)))
+    report = search(document_blobs(table(spark, d, "documents")), plain(_ADAPTER, should=(_LEDGER, _CACHE)))
     return R.ranked_matches(report.matches).drop("matched_kinds").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("match_dedup", f"WITH {BLOBS}, m AS (SELECT {COLUMNS}, 1.0::DOUBLE AS score, ['exact_text'] AS matched_kinds FROM l WHERE contains(line, 'adapter') UNION ALL SELECT {COLUMNS}, 2.0, ['exact_text', 'identifier'] FROM l WHERE contains(line, 'adapter') AND {word('ledger')}), r AS (SELECT *, row_number() OVER (PARTITION BY slug, commit_sha, path, blob_sha, start_line, end_line ORDER BY score DESC, matched_kinds DESC) AS rn FROM m) SELECT * EXCLUDE (rn) FROM r WHERE rn = 1")
 def match_dedup(spark: SparkSession, d: str) -> DataFrame:
     """The matches of two searches, each identity once with its best score."""
-    blobs = document_blobs(table(spark, d, "documents")).where("path NOT LIKE '%.js'")
+    blobs = document_blobs(table(spark, d, "documents"))
     return R.dedup_matches(search(blobs, plain(_ADAPTER)).matches.unionByName(search(blobs, plain(_ADAPTER, _LEDGER)).matches))
 
 
 @query("must_not_line", f"WITH {BLOBS} SELECT {COLUMNS}, 1.0::DOUBLE AS score, ['exact_text'] AS matched_kinds FROM l WHERE contains(line, 'adapter') AND NOT contains(line, 'cache')")
 def must_not_line(spark: SparkSession, d: str) -> DataFrame:
     """Matches without the lines that another predicate hits: the line-level exclusion of a verified hit."""
-    blobs = document_blobs(table(spark, d, "documents")).where("path NOT LIKE '%.js'")
+    blobs = document_blobs(table(spark, d, "documents"))
     identity = ["slug", "commit_sha", "path", "blob_sha", "start_line"]
     return search(blobs, plain(_ADAPTER)).matches.join(search(blobs, plain(_CACHE)).matches.select(*identity), identity, "left_anti").select(*R.IDENTITY, "score", "matched_kinds")
 
@@ -131,7 +131,7 @@ def trigram_candidates(spark: SparkSession, d: str) -> DataFrame:
 @query("index_equals_scan", f"WITH {BLOBS} SELECT {COLUMNS}, 1.0::DOUBLE AS score, ['exact_text'] AS matched_kinds FROM l WHERE contains(line, 'optional adapter')")
 def index_equals_scan(spark: SparkSession, d: str) -> DataFrame:
     """A search through the index, which must give what the scan gives."""
-    blobs = document_blobs(table(spark, d, "documents")).where("path NOT LIKE '%.js'")
+    blobs = document_blobs(table(spark, d, "documents"))
     return T.indexed_search(blobs, T.index(blobs), plain(_NEEDLE)).matches
 
 
@@ -144,7 +144,7 @@ def blob_lines(spark: SparkSession, d: str) -> DataFrame:
 @query("permalinks", f"WITH {BLOBS} SELECT 'https://host.invalid/' || slug || '/blob/' || commit_sha || '/' || path || '#L' || n AS permalink FROM l WHERE contains(line, 'optional adapter')")
 def permalinks(spark: SparkSession, d: str) -> DataFrame:
     """Addresses of the matches."""
-    found = search(document_blobs(table(spark, d, "documents")).where("path NOT LIKE '%.js'"), plain(_NEEDLE)).matches
+    found = search(document_blobs(table(spark, d, "documents")), plain(_NEEDLE)).matches
     return found.select(F.format_string("https://host.invalid/%s/blob/%s/%s#L%d", "slug", "commit_sha", "path", "start_line").alias("permalink"))
 
 

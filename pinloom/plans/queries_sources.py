@@ -109,7 +109,7 @@ def merged_matches(spark: SparkSession, d: str) -> DataFrame:
     """Matches of several batches, one for each identity with the union of kinds."""
     from pinloom.plans.search import search
 
-    found = search(document_blobs(table(spark, d, "documents")).where("path NOT LIKE '%.js'"), SearchSpec((Predicate("exact_text", "adapter"),))).matches
+    found = search(document_blobs(table(spark, d, "documents")), SearchSpec((Predicate("exact_text", "adapter"),))).matches
     other = found.where("start_line % 2 = 0").withColumn("score", F.lit(3.0)).withColumn("matched_kinds", F.array(F.lit("call")))
     return R.merged_matches(found.unionByName(other))
 
@@ -119,7 +119,7 @@ def streaming_search(spark: SparkSession, d: str) -> DataFrame:
     """The scoped search over the documents as a stream, run until all that is there is read."""
     schema = table(spark, d, "documents").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/documents.parquet*")
-    blobs = document_blobs(stream).where("path NOT LIKE '%.js'")
+    blobs = document_blobs(stream)
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     run_available(stream_matches(blobs, SearchSpec((Predicate("exact_text", "adapter"),))), f"{folder}/out", f"{folder}/state")
     return spark.read.parquet(f"{folder}/out")
