@@ -18,9 +18,18 @@ def lines_of(content: Column) -> Column:
     return F.when(content == "", F.array().cast("array<string>")).when(content.endswith("\n"), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+#: The endings that claimed languages give a document, prose as FIXTURES.md has it and source by its language.
+ENDINGS = {"en": ".py", "fr": ".rs", "de": ".go", "python": ".py", "rust": ".rs", "go": ".go", "javascript": ".js"}
+
+
 def document_blobs(documents: DataFrame) -> DataFrame:
-    """Documents as blobs of pinned trees; the ending of the path follows the language they claim. Null texts are no blobs."""
-    ending = F.when(F.col("lang") == "en", ".py").when(F.col("lang") == "fr", ".rs").when(F.col("lang") == "de", ".go").when(F.col("lang") == "javascript", ".js").otherwise(".txt")
+    """Documents as blobs of pinned trees; the ending of the path follows the language they claim, in whatever case.
+
+    Other languages, and documents that claim none, end in .txt, for which there is no adapter. Null texts are no blobs.
+    """
+    ending = F.lit(".txt")
+    for language, end in ENDINGS.items():
+        ending = F.when(F.lower(F.trim("lang")) == language, end).otherwise(ending)
     text = F.col("text")
     return documents.where(text.isNotNull() & F.col("source").isNotNull()).select(
         F.col("source").alias("slug"), F.sha1(F.col("source").cast("binary")).alias("commit_sha"),

@@ -42,3 +42,11 @@ def test_searches_see_javascript(spark, small, name):
 def test_permalinks_see_javascript(spark, small):
     links = [r.permalink for r in E.queries()["permalinks"](spark, small).collect()]
     assert sorted(x.split("/blob/")[1].split("/", 1)[1] for x in links) == ["en/11.py#L2", "javascript/12.js#L6"]
+
+
+def test_source_of_every_language_is_searched(spark, tmp_path):
+    claims = ["en", "EN", "fr", "de", "python", "Python", "go", "rust", "javascript", "JavaScript", "es", "ja", "und", None]
+    d = folder(spark, tmp_path, [(i, "import x\nn = len(x)", lang, "o/r") for i, lang in enumerate(claims)])
+    want = ["EN/1.py", "JavaScript/9.js", "Python/5.py", "de/3.go", "en/0.py", "fr/2.rs", "go/6.go", "javascript/8.js", "python/4.py", "rust/7.rs"]
+    assert sorted(r.path for r in E.queries()["call_predicate"](spark, d).collect()) == want
+    assert sorted({r.path for r in E.queries()["blob_lines"](spark, d).collect()}) == [p for p in want if not p.endswith(".js")]
