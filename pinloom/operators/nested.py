@@ -6,15 +6,14 @@ flatten joins the arrays, and one inline per target table emits the rows.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-#: How often a JSON string that holds JSON is opened; each time is an expression within the next.
-MAX_WRAPS = 1
-
+from pyspark.sql.types import StringType
 
 @dataclass(frozen=True)
 class Field:
@@ -43,12 +42,24 @@ def _boxed_keys(text: Column) -> Column:
     return F.map_keys(F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))), "$", "map<string,variant>"))
 
 
+@F.pandas_udf(StringType())
+def _innermost(texts: pd.Series) -> pd.Series:
+    def inner(text: str | None) -> str | None:
+        try:
+            while isinstance(text, str) and text.lstrip(" \t\r\n").startswith('"'):
+                text = json.loads(text)
+        except ValueError:
+            return None
+        return text if text is None else text.encode("utf-8", "replace").decode()  # half a surrogate pair is no UTF-8
+
+    return texts.map(inner)
+
+
 def unwrapped(text: Column) -> Column:
-    """The text, or, where it is one JSON string and nothing else, what that string holds."""
-    for _ in range(MAX_WRAPS):
-        inner = F.when((F.size(_listed(text)) == 1) & (F.size(_boxed_keys(text)) == 1), F.try_variant_get(F.get(_listed(text), 0), "$", "string"))
-        text = F.when(F.ltrim(text).startswith('"'), inner).otherwise(text)
-    return text
+    """The text, or, where it is one JSON string and nothing else, what that string holds, however often it is wrapped."""
+    # only what may be a string goes to Python; a string is longer than what it holds, so the loop ends
+    wrapped = text.rlike(r'^[ \t\r\n]*"')
+    return F.when(wrapped, _innermost(F.when(wrapped, text))).otherwise(text)
 
 
 def opened(df: DataFrame, keys: Sequence[str], payload: str, root: str) -> DataFrame:

@@ -97,3 +97,13 @@ def test_flat_tables_link_to_parents(spark):
     assert (row.pos_0, row.pos_1, row.grade, row.slug, row.end_line) == (0, 0, "2", "a/b", 7)
     assert rows(N.flat_table(data, N.EDGES, "payload", ["record_id"])) == []
     assert rows(N.entity_index(data.limit(0), ALL, "payload", "record_id")) == []
+
+
+def test_wraps_of_any_number_are_opened(spark):
+    text = json.dumps({"tasks": [{"judgments": [{"source": {"path": "p"}}]}]})
+    wrapped = [text]
+    for _ in range(5):
+        wrapped.append(json.dumps(wrapped[-1]))
+    payloads = [*wrapped, *(f"{c}{wrapped[1]}{c}" for c in " \t\r\n"), json.dumps("\n\t" + wrapped[1]), wrapped[2] + "x", wrapped[2] + wrapped[2], json.dumps('"open'), '"\\ud800"', '"', '"a\nb"', None]
+    assert rows(N.entity_index(records(spark, payloads), ALL, "payload", "record_id")) == sorted(((i, "judgment", 0, 0) for i in range(11)), key=repr)
+    assert [r.record_id for r in N.flat_table(records(spark, wrapped), N.TASKS, "payload", ["record_id"]).orderBy("record_id").collect()] == list(range(6))
