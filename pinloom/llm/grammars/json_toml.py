@@ -74,6 +74,7 @@ def lex_toml(text: str) -> Tokens:
     out, pos, n = Tokens(), 0, len(text)
     stack: list[str] = []
     value = False  # after an equals sign or within an array
+    header = False  # within the header of an array of tables
     while pos < n:
         m = _TOML.match(text, pos)
         kind = m.lastgroup if m else "BAD"
@@ -89,6 +90,7 @@ def lex_toml(text: str) -> Tokens:
         if kind == "NL":
             if not stack:
                 value = False
+            header = False
             out.add("NL", word, pos)
         elif kind == "bare":
             if value:
@@ -108,13 +110,15 @@ def lex_toml(text: str) -> Tokens:
             elif word == "[":
                 if not value and not stack and text.startswith("[[", pos):
                     word, end = "[[", pos + 2
+                    header = True
                 elif value:
                     stack.append("[")
             elif word == "]":
                 if stack and stack[-1] == "[":
                     stack.pop()
-                elif not stack and text.startswith("]]", pos) and "[[" in out.kinds[-8:]:
+                elif not stack and header and text.startswith("]]", pos):
                     word, end = "]]", pos + 2
+                    header = False
             elif word == "{":
                 stack.append("{")
                 value = False

@@ -161,3 +161,10 @@ def test_licences_along_paths(spark):
     assert out["5"] == ("file", "", "conflict", "beside") and out["7"] == ("file", "Apache-2.0", "resolved", "evidence") and out["8"][1:] == ("MIT", "resolved", "top") and out["9"][1] == "MIT"
     assert out["o/r@c"] == ("repository", "MIT", "resolved", "top") and len(out) == 8
     assert C.resolved_licences(df.limit(0), spark.createDataFrame([], EVIDENCE)).count() == 0
+
+
+def test_toml_headers_of_many_parts():
+    for t in ("[[a.b.c.d.e]]\nx = 1\n", "[[a . 'b' . \"c\".d.e.f.g.h]]\n[[p.q]] # y\n[z]\nq = [[1], [[2]]]\n"):
+        assert P.parse("toml", t.encode()).valid, t
+    for t in ("[[a.b.c.d.e]\n", "[[a]\n[b]]\n", "[a]]\n", "[[a.b.c.d.e]]]\n"):
+        assert not P.parse("toml", t.encode()).valid, t
