@@ -168,3 +168,12 @@ def test_toml_headers_of_many_parts():
         assert P.parse("toml", t.encode()).valid, t
     for t in ("[[a.b.c.d.e]\n", "[[a]\n[b]]\n", "[a]]\n", "[[a.b.c.d.e]]]\n"):
         assert not P.parse("toml", t.encode()).valid, t
+
+def test_inherited_documentation_of_a_deep_chain(spark):
+    depth = 34
+    code = "class C0:\n    def run(self):\n        \"\"\"Carries every parcel across the river.\"\"\"\n"
+    code += "".join(f"class C{i}(C{i - 1}):\n    pass\n" for i in range(1, depth)) + f"class C{depth}(C{depth - 1}):\n    def run(self):\n        pass\n"
+    code += "class D(E):\n    def go(self):\n        pass\nclass E(D):\n    def go(self):\n        pass\n"  # a cycle
+    df = spark.createDataFrame([(1, "o/r", "c", "a.py", bytearray(code.encode()))], "file_id long, slug string, commit_sha string, path string, content binary")
+    out = [(r.qualified_name, r.doc_source, r.docstring) for r in N.documented_functions(df).collect()]
+    assert sorted(out) == [("C0.run", "own", "Carries every parcel across the river."), (f"C{depth}.run", "inherited", "Carries every parcel across the river.")]
