@@ -104,7 +104,7 @@ _HITS = "h AS (SELECT DISTINCT slug, path, md5(coalesce(signature, '')) AS commi
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
-    t = _snapshot(spark, d, 1)
+    t = table(spark, d, "symbol_snapshots")
     return t.select("slug", "path", F.md5(F.coalesce("signature", F.lit("")).cast("binary")).alias("commit_sha"), F.md5(F.coalesce("docstring", F.lit("")).cast("binary")).alias("blob_sha")).distinct()
 
 
