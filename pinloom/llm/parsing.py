@@ -63,6 +63,34 @@ def tokenized(language: str, text: str) -> tuple[Tokens, dict | None]:
 _GRAMMARS = {"python": python.GRAMMAR, "javascript": javascript.GRAMMAR, "go": go.GRAMMAR, "rust": rust.GRAMMAR, "json": json_toml.JSON, "toml": json_toml.TOML}
 
 
+@dataclass
+class Lexed:
+    """A file's text and tokens, before it is parsed."""
+
+    text: str
+    tokens: Tokens
+    arrows: dict | None = None
+
+
+def lexed(language: str, data: bytes) -> Lexed | None:
+    """The tokens of a file; null if its bytes are no text, or nested too deeply for the lexer."""
+    text = decoded(language, data)
+    if text is None:
+        return None
+    try:
+        return Lexed(text, *tokenized(language, text))
+    except RecursionError:
+        return None
+
+
+def accepted(language: str, file: Lexed) -> bool:
+    """Whether a source language's grammar takes all of a file's tokens."""
+    try:
+        return _GRAMMARS[language].accepts(file.tokens, file.arrows)
+    except RecursionError:
+        return False
+
+
 def parse(language: str, data: bytes) -> Parsed:
     """Parses a file of a language; a file nested too deeply for the parser doesn't parse, with the cause ``nesting``."""
     text = decoded(language, data)

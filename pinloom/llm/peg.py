@@ -312,6 +312,10 @@ class Grammar:
             for n in self.memo:
                 space[f"M_{n}"].clear()
 
+    def accepts(self, tokens: Tokens, arrows: dict | None = None) -> bool:
+        """Whether all tokens match."""
+        return self._run(self.fast, tokens, arrows) == len(tokens.kinds)
+
     def parse(self, tokens: Tokens, arrows: dict | None = None) -> tuple[bool, int, set[tuple[str, int]]]:
         """Whether all tokens match; the place of the furthest failure if not; the places of marked rules."""
         end = self._run(self.fast, tokens, arrows)

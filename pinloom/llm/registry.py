@@ -143,8 +143,8 @@ def p7_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query("p4_found")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """The source files that nobody wrote by hand here."""
-    ours = foreign.foreign_files(table(spark, d, "verified_bytes")).select(F.lit("verified_bytes").alias("record_set"), F.col("file_id").alias("record_id"), "class")
-    theirs = foreign.foreign_files(table(spark, d, "recipient_entries"), "entry_id", slug="project_root_identity")
+    ours = foreign.foreign_files(table(spark, d, "verified_bytes"), judge_all=False).select(F.lit("verified_bytes").alias("record_set"), F.col("file_id").alias("record_id"), "class")
+    theirs = foreign.foreign_files(table(spark, d, "recipient_entries"), "entry_id", slug="project_root_identity", judge_all=False)
     both = ours.unionByName(theirs.select(F.lit("recipient_entries").alias("record_set"), F.col("entry_id").alias("record_id"), "class"))
     return both.where("class NOT IN ('hand-written', 'invalid')").select("record_set", "record_id")
 

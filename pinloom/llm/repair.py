@@ -1,8 +1,8 @@
 """Re-Pair grammars over token sequences, for many files at once.
 
 Re-Pair replaces the most frequent pair of neighbours by a new symbol until no pair repeats. Here every round replaces, in
-every file, all pairs at least half as frequent as the file's most frequent one; where candidates overlap, the more frequent
-wins. A rule is named by a hash of its right side, so that equal rules of different files are the same rule. What a file's
+every file, all pairs at least half as frequent as the file's most frequent one, rather than that one alone; where candidates
+overlap, the more frequent wins. A rule is named by a hash of its right side, so that equal rules of different files are the same rule. What a file's
 grammar looks like depends on that file alone.
 """
 
@@ -14,7 +14,7 @@ import numpy as np
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _SHIFT, _LOW = np.uint64(31), np.uint64((1 << 40) - 1)
-MAX_ROUNDS = 64
+
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -35,6 +35,8 @@ class Grammars:
     rule: np.ndarray
     span: np.ndarray
     uses: np.ndarray
+    #: The name of each start rule, a hash of its symbols; equal sequences have equal names.
+    start_rule: np.ndarray
 
     def size(self) -> np.ndarray:
         """Symbols on the right sides of each grammar as a part of the file's tokens."""
@@ -50,18 +52,33 @@ def induce(sequences: list[np.ndarray]) -> Grammars:
     span = np.ones(len(symbols), dtype=np.int64)
     found: list[tuple[np.ndarray, ...]] = []
     start = lengths.copy()
-    for _ in range(MAX_ROUNDS):
+    start_rule = np.zeros(count, np.uint64)
+
+    def close(done: np.ndarray) -> None:
+        """Names the start rules of the files that ``done`` marks."""
+        at = np.flatnonzero(done[file])
+        if len(at):
+            heads = np.flatnonzero(np.append(True, file[at][1:] != file[at][:-1]))
+            place = np.arange(len(at)) - np.repeat(heads, np.diff(np.append(heads, len(at))))
+            with np.errstate(over="ignore"):
+                start_rule[file[at[heads]]] = np.add.reduceat(mixed(symbols[at], place.astype(np.uint64)), heads)
+
+    every = np.ones(count, dtype=bool)
+    while True:
         if len(symbols) < 2:
+            close(every)
             break
         inner = file[1:] == file[:-1]
         pair = mixed(symbols[:-1], symbols[1:])
-        keyed = mixed(pair, file[:-1].astype(np.uint64))
+        # a pair across two files counts for neither
+        keyed = np.where(inner, mixed(pair, file[:-1].astype(np.uint64)), np.uint64(0))
         _, inverse, times = np.unique(keyed, return_inverse=True, return_counts=True)
         times = np.where(inner, times[inverse], 0)
         most = np.zeros(count, dtype=np.int64)
         np.maximum.at(most, file[:-1], times)
         candidate = inner & (times >= np.maximum(2, (most[file[:-1]] + 1) // 2))
         if not candidate.any():
+            close(every)
             break
         weight = np.where(candidate, (times.astype(np.uint64) << np.uint64(40)) | (pair & _LOW), np.uint64(0))
         before, after = np.concatenate([[np.uint64(0)], weight[:-1]]), np.concatenate([weight[1:], [np.uint64(0)]])
@@ -75,6 +92,7 @@ def induce(sequences: list[np.ndarray]) -> Grammars:
         clash = taken[1:] & taken[:-1]
         taken[1:][clash] = False
         if not taken.any():
+            close(every)
             break
         at = np.flatnonzero(taken)
         _, first, uses = np.unique(keyed[at], return_index=True, return_counts=True)
@@ -90,10 +108,12 @@ def induce(sequences: list[np.ndarray]) -> Grammars:
         present = np.zeros(count, dtype=bool)
         present[file] = True
         start[present] = sizes[present]
-        keep &= live
+        live = live[keep]
         symbols, file, span = symbols[keep], file[keep], span[keep]
+        close(most < 2)
+        symbols, file, span = symbols[live], file[live], span[live]
     if found:
         rule_file, rule, spans, uses = (np.concatenate(x) for x in zip(*found))
     else:
         rule_file, rule, spans, uses = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return Grammars(lengths, start, np.bincount(rule_file, minlength=count) if count else np.zeros(0, np.int64), rule_file, rule, spans, uses)
+    return Grammars(lengths, start, np.bincount(rule_file, minlength=count) if count else np.zeros(0, np.int64), rule_file, rule, spans, uses, start_rule)

@@ -122,6 +122,8 @@ def test_grammar_induction():
     import numpy as np
 
     g = induce([np.array([1, 2] * 50, dtype=np.uint64), np.arange(100, dtype=np.uint64), np.zeros(0, np.uint64), np.full(64, 7, np.uint64)])
+    alone = induce([np.array([1, 2] * 50, dtype=np.uint64)])
+    assert g.start_rule[0] == alone.start_rule[0] and len(set(g.start_rule.tolist())) == 4
     assert g.size()[0] < 0.3 and g.size()[1] == 1.0 and g.size()[2] == 0 and g.size()[3] < 0.4 and g.rules[1] == 0
 
 
@@ -132,7 +134,52 @@ def test_foreign_files(spark):
     df = table(spark, [(p, ".", c) for p, c in files])
     out = {r.file_id: r["class"] for r in X.foreign_files(df.unionByName(df)).collect()}
     assert out == {0: "generated", 1: "hand-written", 2: "minified", 3: "vendored", 4: "hand-written", 5: "data", 6: "generated", 7: "invalid", 8: "hand-written", 9: "hand-written", 12: "vendored"}
-    assert X.shared_rules(df).count() == 10 and X.foreign_files(df.limit(0)).count() == 0
+    assert X.shared_rules(df).count() == 10 and X.foreign_files(df.limit(0)).count() == 0 and X.shared_rules(df.limit(0)).count() == 0
+    assert {r.file_id for r in X.foreign_files(df, judge_all=False).where("class NOT IN ('hand-written', 'invalid')").collect()} == {0, 2, 3, 5, 6, 12}
+
+
+HAND = b"""import json
+
+
+def load(path, limit=10):
+    rows = []
+    with open(path) as f:
+        for line in f:
+            if len(rows) >= limit:
+                break
+            rows.append(json.loads(line))
+    return rows
+
+
+class Store:
+    def __init__(self, rows):
+        self.rows, self.seen = rows, set()
+
+    def fresh(self, key):
+        if key in self.seen:
+            raise KeyError(key)
+        self.seen.add(key)
+        return [r for r in self.rows if r.get(key) is not None and not r[key].startswith("_")]
+"""
+
+
+def test_vague_notes_need_a_grammar_that_agrees(spark):
+    import base64
+    import random
+
+    blob = base64.b64encode(random.Random(1).randbytes(24_000))
+    small = b"\n".join(b"function f%d(a,b){var c=a.x%d;if(c>b){c=g(c,b)}return c&&b.y||%d}" % (i, i, i) for i in range(40))
+    accessors = b"".join(b"class A%d:\n    def __init__(self, value):\n        self._value = value\n\n    def get_a%d(self):\n        return self._value\n\n    def set_a%d(self, value):\n        self._value = value\n\n" % (i, i, i) for i in range(8))
+    prose = b'"""' + b"This module tells how rows are kept. " * 40 + b'"""\n'
+    files = [("a.py", b"# Adapter for the third-party billing API.\n" + HAND), ("b.py", b"# Parses reports generated by the billing job.\n" + HAND), ("c.py", b"# Callers do not change the rows they get.\n" + HAND)]
+    files += [("d.py", b"DATA = '" + blob + b"'\n"), ("e.js", small), ("f.py", accessors), ("g.py", prose), ("h_pb2.py", HAND), ("i.py", b"import base64\nDATA = base64.b64decode('" + blob + b"')\n"), ("j.py", b"# Do not change the order of these rows.\n" + HAND), ("k.py", HAND.replace(b"json", b"csv"))]
+    rows_ = [(i, "o/r", p, c) for i, (p, c) in enumerate(files)]
+    # the same words over a copy of what another repository holds
+    rows_ += [(20, "x/y", "z.py", b"# third-party helper, see upstream\n" + HAND.replace(b"rows", b"cells")), (21, "o/r", "z.py", HAND.replace(b"rows", b"cells"))]
+    df = spark.createDataFrame(rows_, "file_id long, slug string, path string, content binary")
+    out = {r.file_id: (r["class"], r.decided_by) for r in X.foreign_files(df).collect()}
+    hand = ("hand-written", "")
+    assert out == {0: hand, 1: hand, 2: hand, 3: ("data", "literals"), 4: ("minified", "spacing"), 5: ("generated", "reused rules"), 6: hand, 7: ("generated", "name"), 8: ("data", "literals"), 9: hand, 10: hand, 20: ("vendored", "shared rules"), 21: hand}
 
 
 def test_statements_name_licences():
