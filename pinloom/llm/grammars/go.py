@@ -13,50 +13,55 @@ KEYWORDS = frozenset(
 )
 _ESC = r"\\(?:[abfnrtv\\{q}]|x[0-9a-fA-F]{{2}}|[0-7]{{3}}|u[0-9a-fA-F]{{4}}|U00(?:10|0[0-9a-fA-F])[0-9a-fA-F]{{4}})"
 _TOKEN = re.compile(
-    rf"""(?P<space>[ \t\r]+)|(?P<NL>\n)|(?P<comment>//[^\n]*)|(?P<block>/\*[\s\S]*?\*/)|(?P<NAME>[^\W\d]\w*)
+    rf"""[ \t\r]*+(?:(?P<NL>\n)|(?P<comment>//[^\n]*)|(?P<block>/\*[\s\S]*?\*/)|(?P<NAME>[^\W\d]\w*)
     |(?P<NUM>(?:0[xX](?:_?[0-9a-fA-F])*\.?(?:[0-9a-fA-F](?:_?[0-9a-fA-F])*)?(?:[pP][+-]?[0-9](?:_?[0-9])*)?|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+
       |[0-9](?:_?[0-9])*(?:\.(?:[0-9](?:_?[0-9])*)?)?(?:[eE][+-]?[0-9](?:_?[0-9])*)?|\.[0-9](?:_?[0-9])*(?:[eE][+-]?[0-9](?:_?[0-9])*)?)i?)
     |(?P<STR>"(?:[^"\\\n]|{_ESC.format(q='"')})*+"|`[^`]*`)|(?P<CHAR>'(?:[^'\\\n]|{_ESC.format(q="'")})')
-    |(?P<op>\.\.\.|<<=|>>=|&\^=|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|&\^|[+\-*/%&|^<>=!()\[\]{{}},;.:~])""",
+    |(?P<op>\.\.\.|<<=|>>=|&\^=|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|&\^|[+\-*/%&|^<>=!()\[\]{{}},;.:~]))""",
     re.X,
 )
+_BLANK = re.compile(r"[ \t\r]*")
 _ENDS = frozenset(["NAME", "NUM", "STR", "CHAR", "break", "continue", "fallthrough", "return", "++", "--", ")", "]", "}"])
 _OCTAL = re.compile(r"0[0-9_]*[89][0-9_]*\Z")
 
 
 def lex(text: str) -> Tokens:
     out, pos, n = Tokens(), 0, len(text)
-    kinds = out.kinds
+    kinds, texts, offsets = out.kinds, out.texts, out.offsets
+    match = _TOKEN.match
     while pos < n:
-        m = _TOKEN.match(text, pos)
+        m = match(text, pos)
         if not m:
-            out.add("BAD", text[pos : pos + 1], pos)
-            out.problem = "string" if text[pos] in "\"'`" else "character"
+            pos = _BLANK.match(text, pos).end()
+            if pos < n:
+                kinds.append("BAD"), texts.append(text[pos : pos + 1]), offsets.append(pos)
+                out.problem = "string" if text[pos] in "\"'`" else "character"
             break
-        kind, word = m.lastgroup, m.group()
-        if kind == "NL" or (kind == "block" and "\n" in word):
+        kind = m.lastgroup
+        word, pos, end = m.group(kind), m.start(kind), m.end()
+        if kind == "op":
+            kinds.append(word), texts.append(word), offsets.append(pos)
+        elif kind == "NAME":
+            kinds.append(word if word in KEYWORDS else "NAME"), texts.append(word), offsets.append(pos)
+        elif kind == "NL" or (kind == "block" and "\n" in word):
             if kinds and kinds[-1] in _ENDS:
-                out.add(";", "\n", pos)
+                kinds.append(";"), texts.append("\n"), offsets.append(pos)
             if kind == "block":
-                out.comments.append((pos, m.end()))
-        elif kind in ("space", "comment", "block"):
-            if kind != "space":
-                out.comments.append((pos, m.end()))
-        elif kind == "op":
-            out.add(word, word, pos)
-        elif kind == "NAME":
-            out.add(word if word in KEYWORDS else "NAME", word, pos)
+                out.comments.append((pos, end))
+        elif kind in ("comment", "block"):
+            out.comments.append((pos, end))
         else:
-            follow = text[m.end() : m.end() + 1]
+            follow = text[end : end + 1]
             if kind == "NUM" and ((follow and (follow.isalnum() or follow == "_")) or _OCTAL.match(word)):
-                out.add("BAD", word, pos)
+                kinds.append("BAD"), texts.append(word), offsets.append(pos)
                 out.problem = "number"
                 break
-            out.add(kind, word, pos)
-        pos = m.end()
+            kinds.append(kind), texts.append(word), offsets.append(pos)
+        pos = end
     if kinds and kinds[-1] in _ENDS:
-        out.add(";", "", n)
-    out.add("$", "", n)
+        kinds.append(";"), texts.append(""), offsets.append(n)
+    kinds.append("$"), texts.append(""), offsets.append(n)
+    out.newline = out.joined = [False] * len(kinds)
     return out
 
 

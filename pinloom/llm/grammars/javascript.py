@@ -14,14 +14,15 @@ KEYWORDS = frozenset(
 )
 _NAME = r"(?:[^\W\d]|\$|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:\w|\$|\u200c|\u200d|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*"
 _TOKEN = re.compile(
-    rf"""(?P<space>[ \t\v\f\xa0\ufeff\u1680\u2000-\u200a\u202f\u205f\u3000]+)|(?P<NL>\r\n|[\n\r\u2028\u2029])
+    rf"""[ \t]*+(?:(?P<space>[\v\f\xa0\ufeff\u1680\u2000-\u200a\u202f\u205f\u3000]+)|(?P<NL>\r\n|[\n\r\u2028\u2029])
     |(?P<comment>//[^\n\r\u2028\u2029]*)|(?P<block>/\*[\s\S]*?\*/)|(?P<NAME>{_NAME})|(?P<PRIVATE>\#{_NAME})
     |(?P<NUM>0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*n?|0[oO][0-7](?:_?[0-7])*n?|0[bB][01](?:_?[01])*n?
       |(?:0|[1-9](?:_?[0-9])*)n|(?:(?:0|[1-9](?:_?[0-9])*)(?:\.(?:[0-9](?:_?[0-9])*)?)?|\.[0-9](?:_?[0-9])*)(?:[eE][+-]?[0-9](?:_?[0-9])*)?)
     |(?P<STR>"(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*+"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*+')|(?P<tick>`)
-    |(?P<op>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?![0-9])|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|\*\*|<<|>>|[{{}}()\[\];,<>+\-*/%&|^!~?:=.@])""",
+    |(?P<op>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?![0-9])|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|\*\*|<<|>>|[{{}}()\[\];,<>+\-*/%&|^!~?:=.@]))""",
     re.X,
 )
+_BLANK = re.compile(r"[ \t]*")
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n\r\u2028\u2029]|\\[^\n\r\u2028\u2029]|\[(?:[^\]\\\n\r\u2028\u2029]|\\[^\n\r\u2028\u2029])*\])+/(?:\w|\$)*")
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*+")
 _BAD_ESCAPE = re.compile(r"(?<!\\)(?:\\\\)*\\(?:x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4}|\{0*(?:10|[0-9a-fA-F])?[0-9a-fA-F]{1,4}\})|0[0-9]|[1-9])")
@@ -29,6 +30,8 @@ _FLAGS = re.compile(r"(?!.*(.).*\1)[dgimsuy]*\Z")
 _VALUE_END = frozenset(["NAME", "NUM", "STR", "TPL", "TTAIL", "REGEX", "PRIVATE", ")", "]", "}", "this", "super", "null", "true", "false", "++", "--"])
 #: Words after which a name is expected, so that a reserved one is a name too.
 _MEMBER = frozenset([".", "?."])
+#: Signs whose meaning, or that of what follows, depends on where they stand.
+_STATEFUL = frozenset(["/", "/=", "(", ")", "[", "]", "{", "}"])
 _BEFORE_BLOCK = frozenset([")", ";", "{", "}", "else", "do", "try", "finally", "=>", ":", "$", "static"])
 
 
@@ -47,12 +50,18 @@ def lex(text: str) -> tuple[Tokens, dict[int, bool]]:
 
     if text.startswith("#!"):
         pos = m.start() if (m := re.search(r"[\n\r\u2028\u2029]", text)) else n
+    match, texts, offsets, newlines, joined = _TOKEN.match, out.texts, out.offsets, out.newline, out.joined
     while pos < n:
-        m = _TOKEN.match(text, pos)
+        m = match(text, pos)
         if not m:
-            bad(pos, "string" if text[pos] in "\"'" else "character")
+            pos = _BLANK.match(text, pos).end()
+            if pos < n:
+                bad(pos, "string" if text[pos] in "\"'" else "character")
             break
-        kind, word, end = m.lastgroup, m.group(), m.end()
+        kind = m.lastgroup
+        word, start, end = m.group(kind), m.start(kind), m.end()
+        if start > pos:
+            spaced, pos = True, start
         if kind == "space":
             pos = end
             spaced = True
@@ -69,6 +78,11 @@ def lex(text: str) -> tuple[Tokens, dict[int, bool]]:
             newline = newline or "\n" in word or "\r" in word or "\u2028" in word
             pos = end
             continue
+        if kind == "op" and word not in _STATEFUL:
+            kinds.append(word), texts.append(word), offsets.append(pos), newlines.append(newline), joined.append(not spaced)
+            newline = spaced = False
+            pos = end
+            continue
         last = kinds[-1] if kinds else "$"
         token = word if kind == "op" else kind
         if kind == "NAME":
@@ -117,7 +131,7 @@ def lex(text: str) -> tuple[Tokens, dict[int, bool]]:
                 _, at, regex = brackets.pop()
                 partner[at] = len(kinds)
                 regex_after[len(kinds)] = regex
-        out.add(token, word, pos, newline, not spaced)
+        kinds.append(token), texts.append(word), offsets.append(pos), newlines.append(newline), joined.append(not spaced)
         newline = spaced = False
         pos = end
     out.add("$", "", n, True)

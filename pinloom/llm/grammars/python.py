@@ -15,12 +15,12 @@ KEYWORDS = frozenset(
 
 _BLANK, _LINE = re.compile(r"[ \t\f]*"), re.compile(r"[^\r\n]*")
 _TOKEN = re.compile(
-    r"""(?P<NAME>[^\W\d]\w*)
+    r"""[ \t\f]*+(?:(?P<NAME>[^\W\d]\w*)
     |(?P<NUM>0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+
       |(?:(?:[0-9](?:_?[0-9])*)?\.[0-9](?:_?[0-9])*|[0-9](?:_?[0-9])*\.?)(?:[eE][+-]?[0-9](?:_?[0-9])*)?[jJ]?)
     |(?P<quote>"{3}|'{3}|"|')
     |(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|->|:=|==|!=|<=|>=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|\*\*|//|>>|<<|[+\-*/%@&|^~<>()\[\]{},:.;=!])
-    |(?P<cont>\\\r?\n|\\\r)|(?P<NL>\r\n|\r|\n)|(?P<comment>\#[^\r\n]*)""",
+    |(?P<cont>\\\r?\n|\\\r)|(?P<NL>\r\n|\r|\n)|(?P<comment>\#[^\r\n]*))""",
     re.X,
 )
 _PREFIX = re.compile(r"(?:[rR][bBfF]?|[bBfF][rR]?|[uU])\Z")
@@ -60,13 +60,18 @@ class Lexer:
     def __init__(self, text: str) -> None:
         self.s, self.n, self.out = text, len(text), Tokens()
 
+    def add(self, kind: str, text: str, offset: int) -> None:
+        out = self.out
+        out.kinds.append(kind), out.texts.append(text), out.offsets.append(offset)
+
     def run(self) -> Tokens:
         try:
             self.top()
         except LexError as e:
-            self.out.add("BAD", self.s[e.place : e.place + 1], e.place)
+            self.add("BAD", self.s[e.place : e.place + 1], e.place)
             self.out.problem = e.why
-        self.out.add("$", "", self.n)
+        self.add("$", "", self.n)
+        self.out.newline = self.out.joined = [False] * len(self.out.kinds)
         return self.out
 
     def top(self) -> None:
@@ -74,6 +79,7 @@ class Lexer:
         indents, alternatives = [0], [0]
         stack: list[str] = []
         pos, fresh = 0, True
+        match, kinds, texts, offsets = _TOKEN.match, out.kinds, out.texts, out.offsets
         while pos < n:
             if fresh and not stack:
                 m = _BLANK.match(s, pos)
@@ -90,8 +96,9 @@ class Lexer:
                     pos = m2.end()
                     continue
                 blank = m.group()
-                column = other = 0
-                for c in blank:
+                # spaces alone count one each
+                column = other = 0 if "\t" in blank or "\f" in blank else len(blank)
+                for c in blank if not column else "":
                     if c == " ":
                         column, other = column + 1, other + 1
                     elif c == "\t":
@@ -106,46 +113,64 @@ class Lexer:
                         raise LexError(at, "indentation")
                     indents.append(column)
                     alternatives.append(other)
-                    out.add("INDENT", "", at)
+                    self.add("INDENT", "", at)
                 else:
                     while column < indents[-1]:
                         indents.pop()
                         alternatives.pop()
-                        out.add("DEDENT", "", at)
+                        self.add("DEDENT", "", at)
                     if column != indents[-1] or other != alternatives[-1]:
                         raise LexError(at, "indentation")
                 pos = at
             fresh = False
-            pos = _BLANK.match(s, pos).end()
-            if pos >= n:
+            m = match(s, pos)
+            kind = m.lastgroup if m else ""
+            if kind == "op":
+                word, pos = m.group(kind), m.end()
+                if word in _OPEN:
+                    if len(stack) >= MAX_DEPTH:
+                        raise LexError(m.start(kind), "nesting")
+                    stack.append(_OPEN[word])
+                elif word in _CLOSE and (not stack or stack.pop() != word):
+                    raise LexError(m.start(kind), "bracket")
+                kinds.append(word), texts.append(word), offsets.append(m.start(kind))
+                continue
+            if kind == "NAME":
+                word, end = m.group(kind), m.end()
+                if word.isascii() and s[end : end + 1] not in ("'", '"'):
+                    kinds.append(word if word in KEYWORDS else "NAME"), texts.append(word), offsets.append(m.start(kind))
+                    pos = end
+                    continue
+            if not m and _BLANK.match(s, pos).end() >= n:
                 break
             kind, pos = self.one(pos, stack)
             if kind == "NL" and not stack:
-                out.add("NEWLINE", "", pos)
+                self.add("NEWLINE", "", pos)
                 fresh = True
         if stack:
             raise LexError(n, "bracket")
         if out.kinds and out.kinds[-1] not in ("NEWLINE", "DEDENT"):
-            out.add("NEWLINE", "", n)
+            self.add("NEWLINE", "", n)
         for _ in indents[1:]:
-            out.add("DEDENT", "", n)
+            self.add("DEDENT", "", n)
 
     def one(self, pos: int, stack: list[str]) -> tuple[str, int]:
         """Adds the token at ``pos``; returns its group and the place after it."""
         s, out = self.s, self.out
         m = _TOKEN.match(s, pos)
         if not m:
-            raise LexError(pos, "character")
-        kind, word, end = m.lastgroup, m.group(), m.end()
+            raise LexError(_BLANK.match(s, pos).end(), "character")
+        kind = m.lastgroup
+        word, pos, end = m.group(kind), m.start(kind), m.end()
         if kind == "NAME":
             quote = s[end : end + 1]
             if quote and quote in "'\"" and len(word) <= 2 and _PREFIX.match(word):
                 return "STR", self.string(pos, end, word.lower())
-            if not word.isidentifier():
+            if not word.isascii() and not word.isidentifier():
                 word = unicodedata.normalize("NFKC", word)
                 if not word.isidentifier():
                     raise LexError(pos, "character")
-            out.add(word if word in KEYWORDS else "NAME", word, pos)
+            self.add(word if word in KEYWORDS else "NAME", word, pos)
         elif kind == "op":
             if word in _OPEN:
                 if len(stack) >= MAX_DEPTH:
@@ -154,7 +179,7 @@ class Lexer:
             elif word in _CLOSE:
                 if not stack or stack.pop() != word:
                     raise LexError(pos, "bracket")
-            out.add(word, word, pos)
+            self.add(word, word, pos)
         elif kind == "quote":
             return "STR", self.string(pos, pos, "")
         elif kind == "NUM":
@@ -163,7 +188,7 @@ class Lexer:
                 raise LexError(pos, "number")
             if _ZEROS.match(word):
                 raise LexError(pos, "number")
-            out.add("NUM", word, pos)
+            self.add("NUM", word, pos)
         elif kind == "comment":
             out.comments.append((pos, end))
         return kind, end
@@ -172,9 +197,9 @@ class Lexer:
         s = self.s
         quote = s[at : at + 3] if s[at : at + 3] in ("'''", '"""') else s[at]
         if "f" in prefix:
-            self.out.add("FSTART", s[pos : at + len(quote)], pos)
+            self.add("FSTART", s[pos : at + len(quote)], pos)
             end = self.formatted(at + len(quote), quote, "r" in prefix, 0)
-            self.out.add("FEND", quote, end)
+            self.add("FEND", quote, end)
             return end + len(quote)
         m = _BODY[quote].match(s, at + len(quote))
         if not m:
@@ -183,7 +208,7 @@ class Lexer:
         binary = "b" in prefix
         if (binary and not body.isascii()) or ("r" not in prefix and bad_escape(body, binary)):
             raise LexError(pos, "string")
-        self.out.add("BYTES" if binary else "STR", s[pos : m.end()], pos)
+        self.add("BYTES" if binary else "STR", s[pos : m.end()], pos)
         return m.end()
 
     def formatted(self, pos: int, quote: str, raw: bool, depth: int) -> int:
@@ -230,7 +255,7 @@ class Lexer:
 
     def replacement(self, pos: int, quote: str, raw: bool, depth: int) -> int:
         s, n, out = self.s, self.n, self.out
-        out.add("F{", "{", pos)
+        self.add("F{", "{", pos)
         pos += 1
         stack: list[str] = []
         while True:
@@ -241,17 +266,17 @@ class Lexer:
             c = s[pos]
             if not stack:
                 if c == "}":
-                    out.add("F}", "}", pos)
+                    self.add("F}", "}", pos)
                     return pos + 1
                 if c == "!" and s[pos + 1 : pos + 2] != "=":
                     m = re.compile(r"!([rsa])(?=[ ]*[:}])").match(s, pos)
                     if not m:
                         raise LexError(pos, "string")
-                    out.add("F!", m.group(), pos)
+                    self.add("F!", m.group(), pos)
                     pos = m.end()
                     continue
                 if c == ":":
-                    out.add("F:", ":", pos)
+                    self.add("F:", ":", pos)
                     pos = self.formatted(pos + 1, quote, raw, depth + 1)
                     continue
                 if s.startswith(":=", pos):

@@ -13,14 +13,15 @@ KEYWORDS = frozenset(
     yield try _""".split()
 )
 _TOKEN = re.compile(
-    rf"""(?P<space>[\s‎‏]+)|(?P<comment>//[^\n]*)|(?P<block>/\*)
+    rf"""[\s‎‏]*+(?:(?P<comment>//[^\n]*)|(?P<block>/\*)
     |(?P<RAW>(?:b|c)?r(?P<hash>\#*)"[\s\S]*?"(?P=hash))|(?P<STR>[bc]?"(?:[^"\\]|\\(?:[nrt0\\'"]|x[0-9a-fA-F]{{2}}|u\{{[0-9a-fA-F_]{{1,8}}\}}|\r?\n))*+")
     |(?P<CHAR>b?'(?:[^'\\\n\r\t]|\\(?:[nrt0\\'"]|x[0-9a-fA-F]{{2}}|u\{{[0-9a-fA-F_]{{1,8}}\}}))')|(?P<LIFE>'[^\W\d]\w*)
     |(?P<NAME>(?:r\#)?[^\W\d]\w*)
     |(?P<NUM>(?:0x[0-9a-fA-F_]*[0-9a-fA-F][0-9a-fA-F_]*|0o[0-7_]*[0-7][0-7_]*|0b[01_]*[01][01_]*|[0-9][0-9_]*(?:\.(?![._]|[^\W\d])(?:[0-9][0-9_]*)?)?(?:[eE][+-]?_*[0-9][0-9_]*)?)(?:[^\W\d]\w*)?)
-    |(?P<op>\.\.=|\.\.\.|<<=|\.\.|::|->|=>|==|!=|<=|&&|\|\||\+=|-=|\*=|/=|%=|\^=|&=|\|=|<<|[+\-*/%^!&|=<>@.,;:\#$?~(){{}}\[\]])""",
+    |(?P<op>\.\.=|\.\.\.|<<=|\.\.|::|->|=>|==|!=|<=|&&|\|\||\+=|-=|\*=|/=|%=|\^=|&=|\|=|<<|[+\-*/%^!&|=<>@.,;:\#$?~(){{}}\[\]]))""",
     re.X,
 )
+_BLANK = re.compile(r"[\s‎‏]*")
 _PLAIN_NUM = re.compile(r"(?:0x[0-9a-fA-F_]+?|0o[0-7_]+|0b[01_]+|[0-9][0-9_]*(?:\.(?:[0-9][0-9_]*)?)?(?:[eE][+-]?_*[0-9][0-9_]*)?)(?:u8|u16|u32|u64|u128|usize|i8|i16|i32|i64|i128|isize|f32|f64)?\Z")
 _COMMENT = re.compile(r"/\*|\*/")
 
@@ -32,18 +33,23 @@ def lex(text: str) -> Tokens:
         pos = text.find("\n") if "\n" in text else n
 
     def bad(why: str) -> None:
-        out.add("BAD", text[pos : pos + 1], pos)
+        out.kinds.append("BAD"), out.texts.append(text[pos : pos + 1]), out.offsets.append(pos), out.joined.append(False)
         out.problem = why
 
+    match, kinds, texts, offsets, joined = _TOKEN.match, out.kinds, out.texts, out.offsets, out.joined
     while pos < n:
-        m = _TOKEN.match(text, pos)
+        m = match(text, pos)
         if not m:
-            bad("string" if text[pos] in "\"'" else "character")
+            pos = _BLANK.match(text, pos).end()
+            if pos < n:
+                bad("string" if text[pos] in "\"'" else "character")
             break
-        kind, word, end = m.lastgroup, m.group(), m.end()
-        if kind in ("space", "comment"):
-            if kind == "comment":
-                out.comments.append((pos, end))
+        kind = m.lastgroup
+        word, start, end = m.group(kind), m.start(kind), m.end()
+        if start > pos:
+            spaced, pos = True, start
+        if kind == "comment":
+            out.comments.append((pos, end))
             spaced, pos = True, end
             continue
         if kind == "block":
@@ -70,10 +76,11 @@ def lex(text: str) -> Tokens:
             break
         elif kind in ("RAW", "hash"):
             token = "STR"
-        out.add(token, word, pos, False, not spaced)
+        kinds.append(token), texts.append(word), offsets.append(pos), joined.append(not spaced)
         spaced = False
         pos = end
-    out.add("$", "", n)
+    kinds.append("$"), texts.append(""), offsets.append(n), joined.append(False)
+    out.newline = [False] * len(kinds)
     return out
 
 

@@ -1,4 +1,5 @@
 import ast
+import textwrap
 
 import pytest
 from conftest import rows
@@ -188,6 +189,23 @@ def test_statements_name_licences():
         assert C.named_licences(text, model) == want, text
 
 
+def test_licence_texts_without_a_title():
+    model = C.train()
+    for spdx, bodies in C.all_bodies().items():
+        for body in bodies:
+            wrapped = "Copyright (c) 1998 Jane Doe and others\n\n" + "\n".join(textwrap.wrap(body, 61))
+            assert C.named_licences(wrapped, model) == [spdx], spdx
+            assert C.named_licences(f"{spdx} License\n\n" + wrapped, model) == [spdx], spdx
+    long = "Grant of rights. Every licensee may copy the work, see also the GNU Affero General Public License version 3.\n" * 40
+    assert C.named_licences("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\n" + long, model) == ["GPL-3.0-only"]
+    for text, want in [
+        ("This is not under the MIT License.", []), ("formerly MIT licence", []), ("SPDX-License-Identifier: MIT AND Apache-2.0", ["Apache-2.0", "MIT"]), ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", ["GPL-2.0-only WITH Classpath-exception-2.0"]),
+        ("GNU General Public License v2 or later with the Classpath exception", ["GPL-2.0-or-later WITH Classpath-exception-2.0"]), ("SPDX-License-Identifier: EPL-1.0", ["EPL-1.0"]), ("Licensed under the Artistic License 2.0", ["Artistic-2.0"]), ("Mozilla Public License 1.1", ["MPL-1.1"]),
+        ("see W3C standard", []), ("connects to PostgreSQL", []), ("Python 2.0 or later", []), ("Released under the BSD license", []), ("It walks the tree of rows and never stops before the last of them was seen by the caller who asked for it", []),
+    ]:
+        assert C.named_licences(text, model) == want, text
+
+
 def test_held_out_names():
     """Templates that the training texts don't hold."""
     model = C.train()
