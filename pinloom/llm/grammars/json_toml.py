@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tomllib
 
 from pinloom.llm.peg import Grammar, Tokens
 
@@ -135,10 +134,159 @@ def lex_toml(text: str) -> Tokens:
     return out
 
 
-def toml_conflict(text: str) -> str:
-    """Keys and tables defined twice, which TOML forbids beside its grammar; run over texts that the grammar accepts."""
-    try:
-        tomllib.loads(text)
-        return ""
-    except (tomllib.TOMLDecodeError, ValueError, RecursionError) as e:
-        return str(e)
+class _Table:
+    """What a TOML text has defined at a place: sub-tables by key, null for plain values."""
+
+    __slots__ = ("items", "header", "dotted", "closed", "array")
+
+    def __init__(self) -> None:
+        self.items: dict[str, _Table | None] = {}
+        self.header = False  # named by a header of its own
+        self.dotted = False  # made by a dotted key
+        self.closed = False  # an inline table or a value
+        self.array = False  # an array of tables; ``items`` belong to its last one
+
+
+def _key_text(kind: str, word: str) -> str:
+    return word if kind == "KEY" else word[1:-1] if kind == "LIT" else _unescaped(word[1:-1])
+
+
+_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|(.))")
+_PLAIN = {"b": "\b", "t": "\t", "n": "\n", "f": "\f", "r": "\r", '"': '"', "\\": "\\"}
+
+
+def _unescaped(text: str) -> str:
+    return _ESCAPE.sub(lambda m: _PLAIN.get(m[3], m[0]) if m[3] else chr(int(m[1] or m[2], 16)), text)
+
+
+def toml_conflict(tokens: Tokens) -> int:
+    """The first token that defines a key or table for the second time, which TOML forbids beside its grammar, or that is no date; -1 if
+    there is none. Run over tokens that the grammar accepts."""
+    kinds, texts = tokens.kinds, tokens.texts
+    root = _Table()
+    now = root
+    i, n = 0, len(kinds)
+
+    def key(i: int) -> tuple[list[str], int]:
+        parts = []
+        while kinds[i] in ("KEY", "STR", "LIT"):
+            parts.append(_key_text(kinds[i], texts[i]))
+            i += 1
+            if kinds[i] != ".":
+                break
+            i += 1
+        return parts, i
+
+    def assign(table: _Table, parts: list[str]) -> tuple[_Table, str] | None:
+        """The table that a dotted key ends in, and its last part; null if the way there is closed or the key is taken."""
+        for p in parts[:-1]:
+            inner = table.items.setdefault(p, _Table())
+            # tables that have a header of their own, or are arrays, can't be added to by dotted keys
+            if inner is None or inner.closed or inner.array or inner.header:
+                return None
+            inner.dotted = True
+            table = inner
+        return None if parts[-1] in table.items else (table, parts[-1])
+
+    def value(i: int) -> tuple[_Table | None, int, int]:
+        """(table of an inline table, place after the value, first bad token or -1)"""
+        if kinds[i] == "[":
+            i += 1
+            while kinds[i] != "]":
+                if kinds[i] in ("NL", ","):
+                    i += 1
+                    continue
+                _, i, bad = value(i)
+                if bad >= 0:
+                    return None, i, bad
+            return None, i + 1, -1
+        if kinds[i] == "{":
+            table = _Table()
+            i += 1
+            while kinds[i] != "}":
+                if kinds[i] == ",":
+                    i += 1
+                    continue
+                at = i
+                parts, i = key(i)
+                place = assign(table, parts)
+                if place is None:
+                    return None, i, at
+                inner, i, bad = value(i + 1)
+                if bad >= 0:
+                    return None, i, bad
+                place[0].items[place[1]] = inner
+            _close(table)
+            return table, i + 1, -1
+        return None, i + 1, i if kinds[i] == "SCALAR" and not _real_time(texts[i]) else -1
+
+    while i < n:
+        kind = kinds[i]
+        if kind in ("[", "[["):
+            at = i
+            parts, i = key(i + 1)
+            table = root
+            for p in parts[:-1]:
+                inner = table.items.setdefault(p, _Table())
+                if inner is None or inner.closed:
+                    return at
+                table = inner
+            last = parts[-1]
+            inner = table.items.get(last)
+            if kind == "[[":
+                if last not in table.items:
+                    table.items[last] = inner = _Table()
+                    inner.array = True
+                elif inner is None or not inner.array:
+                    return at
+                inner.items = {}
+            else:
+                if last not in table.items:
+                    table.items[last] = inner = _Table()
+                elif inner is None or inner.header or inner.dotted or inner.array or inner.closed:
+                    return at
+                inner.header = True
+            now = inner
+            i += 1
+        elif kind in ("KEY", "STR", "LIT"):
+            at = i
+            parts, i = key(i)
+            place = assign(now, parts)
+            if place is None:
+                return at
+            inner, i, bad = value(i + 1)
+            if bad >= 0:
+                return bad
+            place[0].items[place[1]] = inner
+        else:
+            i += 1
+    return -1
+
+
+def _close(table: _Table) -> None:
+    stack = [table]
+    while stack:
+        t = stack.pop()
+        t.closed = True
+        stack += [x for x in t.items.values() if x is not None]
+
+
+_DATE = re.compile(r"(\d{4})-(\d\d)-(\d\d)")
+_CLOCK = re.compile(r"(?:^|[Tt ])(\d\d):(\d\d):(\d\d)")
+_OFFSET = re.compile(r"[+-](\d\d):(\d\d)$")
+
+
+def _real_time(word: str) -> bool:
+    """Whether the dates and times in a scalar exist."""
+    if m := _DATE.match(word):
+        year, month, day = map(int, m.groups())
+        leap = year % 4 == 0 and (year % 100 != 0 or year % 400 == 0)
+        if not year or not 1 <= month <= 12 or not 1 <= day <= (31, 29 if leap else 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)[month - 1]:
+            return False
+    if m := _CLOCK.search(word):
+        hour, minute, second = map(int, m.groups())
+        if hour > 23 or minute > 59 or second > 59:
+            return False
+        if (z := _OFFSET.search(word, m.end())) and (int(z[1]) > 23 or int(z[2]) > 59):
+            return False
+    return True

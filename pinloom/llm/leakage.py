@@ -9,10 +9,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pinloom.llm.arrow import batches_of
@@ -61,34 +62,40 @@ class Phrases:
         return cls(vocabulary, symbols, np.array([len(x) for x in found], dtype=np.int64), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), np.array([i for x in found.values() for i in sorted(x)], dtype=np.int64))
 
 
-def encode(texts: list[str], vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols of all texts, each ended by a separator, and where each text begins.
+def kept_words(found: list[str], vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of a text's words, and which words they stand for.
 
-    A run of words that no item holds can't be crossed by any phrase and becomes one separator; place counts go on, since
-    ``kept`` in the caller's spans refers to words of the text, which are counted again for documents with a hit.
+    A run of words that no item holds can't be crossed by any phrase and becomes one separator.
     """
     get = vocabulary.get
+    ids = np.fromiter((get(w, 0) for w in found), np.int32, len(found))
+    if not len(ids):
+        return ids, np.zeros(0, np.int64)
+    unknown = ids == 0
+    kept = np.flatnonzero(~(unknown & np.concatenate([[True], unknown[:-1]])))
+    return ids[kept], kept
+
+
+def encode(texts: list[str], vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of all texts, each ended by a separator, and where each text begins."""
     parts: list[np.ndarray] = []
     starts = np.empty(len(texts) + 1, dtype=np.int64)
     at = 0
     for i, text in enumerate(texts):
         starts[i] = at
-        found = words(text)
-        ids = np.fromiter((get(w, 0) for w in found), np.int32, len(found))
-        if len(ids):
-            unknown = ids == 0
-            ids = ids[~(unknown & np.concatenate([[True], unknown[:-1]]))]
+        ids, _ = kept_words(words(text), vocabulary)
         parts += [ids, np.zeros(1, np.int32)]
         at += len(ids) + 1
     starts[-1] = at
     return np.concatenate(parts) if parts else np.zeros(0, np.int32), starts
 
 
-def search_shard(texts: list[str], phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (text, phrase) that occur in a shard, distinct."""
+def search_shard(texts: list[str], phrases: Phrases, places: bool = False) -> np.ndarray:
+    """The distinct pairs (text, phrase) that occur in a shard, as two rows; with ``places`` every occurrence, its place among the
+    text's symbols in a third row."""
     symbols, starts = encode(texts, phrases.vocabulary)
     if not len(phrases.lengths) or not len(symbols):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros((2 + places, 0), np.int64)
     index = FMIndex(symbols, len(phrases.vocabulary) + 1)
     low, high = index.search(phrases.symbols, phrases.lengths)
     hits = np.flatnonzero(high > low)
@@ -100,31 +107,35 @@ def search_shard(texts: list[str], phrases: Phrases) -> tuple[np.ndarray, np.nda
         phrase = np.repeat(hits[begin:end], sizes[begin:end])
         first = np.cumsum(sizes[begin:end]) - sizes[begin:end]
         rows = np.arange(len(phrase)) - np.repeat(first, sizes[begin:end]) + np.repeat(low[hits[begin:end]], sizes[begin:end])
-        text = np.searchsorted(starts, index.locate(rows), side="right") - 1
-        out.append(np.unique(np.stack([text, phrase]), axis=1))
+        at = index.locate(rows)
+        text = np.searchsorted(starts, at, side="right") - 1
+        out.append(np.stack([text, phrase, at - starts[text]]) if places else np.unique(np.stack([text, phrase]), axis=1))
         begin = end
-    both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-    return both[0], both[1]
+    return np.concatenate(out, axis=1) if out else np.zeros((2 + places, 0), np.int64)
 
 
-def removal_spans(text: str, parts: list[tuple[str, ...]]) -> list[tuple[int, int]]:
-    """The characters that the phrases cover in the text, merged where they meet or overlap."""
+def removal_spans(text: str, vocabulary: dict[str, int], places: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The characters [a, b) of located phrases: ``places`` count the text's symbols, ``lengths`` the phrases' words."""
     found = [(m.group().lower(), m.start(), m.end()) for m in WORD.finditer(text)]
-    by_first: dict[str, list[int]] = {}
-    for i, (w, _, _) in enumerate(found):
-        by_first.setdefault(w, []).append(i)
-    spans = []
-    for part in parts:
-        for i in by_first.get(part[0], ()):
-            if i + len(part) <= len(found) and all(found[i + k][0] == w for k, w in enumerate(part)):
-                spans.append((found[i][1], found[i + len(part) - 1][2]))
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out
+    _, kept = kept_words([w for w, _, _ in found], vocabulary)
+    begins, ends = np.array([a for _, a, _ in found]), np.array([b for _, _, b in found])
+    # a phrase's words are all known, so they stand side by side in the text too
+    first = kept[places]
+    return begins[first], ends[first + lengths - 1]
+
+
+def merged_spans(spans: list[tuple], items_of) -> Iterator[tuple[int, int, list[int]]]:
+    """Sorted spans (a, b, phrase) joined where they meet or overlap, each with the items of its phrases."""
+    begin, end, held = -1, -1, set()
+    for a, b, p in spans:
+        if a > end:
+            if held:
+                yield begin, end, sorted(held)
+            begin, held = a, set()
+        end = max(end, b)
+        held.update(items_of(p))
+    if held:
+        yield begin, end, sorted(held)
 
 
 FOUND = pa.schema([("_doc", pa.int64()), ("_item", pa.int64())])
@@ -136,23 +147,20 @@ def _search(df: DataFrame, phrases: Phrases, key: str, text: str, spans: bool) -
 
     def shard(ids: list[int], texts: list[str]) -> Iterator[tuple]:
         own = held.value
-        at, phrase = search_shard(texts, own)
         if not spans:
+            at, phrase = search_shard(texts, own)
             for t, p in zip(at.tolist(), phrase.tolist()):
                 for k in range(own.item_start[p], own.item_start[p + 1]):
                     yield ids[t], int(own.items[k])
             return
-        spelt = [""] * (len(own.vocabulary) + 1)
-        for w, i in own.vocabulary.items():
-            spelt[i] = w
-        hit: dict[int, list[int]] = {}
-        for t, p in zip(at.tolist(), phrase.tolist()):
-            hit.setdefault(t, []).append(p)
-        for t, ps in hit.items():
-            parts = [tuple(spelt[s] for s in own.symbols[p] if s) for p in ps]
-            items = sorted({int(own.items[k]) for p in ps for k in range(own.item_start[p], own.item_start[p + 1])})
-            for a, b in removal_spans(texts[t], parts):
-                yield ids[t], a, b, items
+        at, phrase, place = search_shard(texts, own, places=True)
+        order = np.argsort(at, kind="stable")
+        at, phrase, place = at[order], phrase[order], place[order]
+        for a, b in zip(np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else [], np.append(np.flatnonzero(at[1:] != at[:-1]) + 1, len(at))):
+            t, ps = int(at[a]), phrase[a:b]
+            starts, ends = removal_spans(texts[t], own.vocabulary, place[a:b], own.lengths[ps])
+            spans_ = sorted(zip(starts.tolist(), ends.tolist(), ps.tolist()))
+            yield from ((ids[t], x, y, z) for x, y, z in merged_spans(spans_, lambda p: own.items[own.item_start[p] : own.item_start[p + 1]].tolist()))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         ids: list[int] = []
@@ -201,9 +209,17 @@ def leaked_items(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
 
 def leaked_spans(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", phrase: int = PHRASE) -> DataFrame:
-    """The spans to remove: (key, start_char, end_char, items), merged within a document, for each block of test items."""
-    out = None
-    for phrases in _blocks(items, item_key, item_text, phrase):
-        part = _search(df, phrases, key, text, spans=True)
-        out = part if out is None else out.unionByName(part)
-    return out.distinct().withColumnRenamed("_doc", key)
+    """The spans to remove: (key, start_char, end_char, items), joined within a document where they meet or overlap; ``items`` are
+    those whose passages lie in the span. Repeated rows count once; nulls as in ``leaked_items``.
+
+    Of several blocks of test items the spans are joined again by document, whose own spans are all that one task gathers.
+    """
+    parts = [_search(df, phrases, key, text, spans=True) for phrases in _blocks(items, item_key, item_text, phrase)]
+    if len(parts) == 1:
+        return parts[0].distinct().withColumnRenamed("_doc", key)
+    by = Window.partitionBy("_doc").orderBy("start_char", "end_char")
+    reach = F.max("end_char").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    every = reduce(DataFrame.unionByName, parts).distinct()
+    blocks = every.withColumn("_new", F.when(F.col("start_char") <= reach, 0).otherwise(1)).withColumn("_block", F.sum("_new").over(by))
+    joined = blocks.groupBy("_doc", "_block").agg(F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return joined.drop("_block").withColumnRenamed("_doc", key)

@@ -99,11 +99,12 @@ def parse(language: str, data: bytes) -> Parsed:
     try:
         tokens, arrows = tokenized(language, text)
         valid, furthest, marks = _GRAMMARS[language].parse(tokens, arrows)
+        at = json_toml.toml_conflict(tokens) if valid and language == "toml" else -1
     except RecursionError:
         return Parsed(False, text, cause="nesting")
     if valid:
-        if language == "toml" and (conflict := json_toml.toml_conflict(text)):
-            return Parsed(False, text, tokens, cause="duplicate", place=len(text) if "line" not in conflict else 0)
+        if at >= 0:
+            return Parsed(False, text, tokens, cause="value" if tokens.kinds[at] == "SCALAR" else "duplicate", place=tokens.offsets[at])
         return Parsed(True, text, tokens, marks)
     place = tokens.offsets[furthest]
     return Parsed(False, text, tokens, place=place, cause=cause_of(language, text, tokens, furthest, place))
@@ -144,7 +145,7 @@ def parse_files(df: DataFrame, key: str = "file_id", path: str = "path", content
     """A row for each file whose path claims a language that has a grammar.
 
     Columns: ``key``, slug, language, valid, line (of the furthest failure, from 1), cause (merge_conflict, other_language,
-    truncated, encoding, nesting, duplicate, lexical_..., syntax) and found (the token there). Repeated rows count once. Rows
+    truncated, encoding, nesting, duplicate, value, lexical_..., syntax) and found (the token there). Repeated rows count once. Rows
     with null content or path give none; an empty file is parsed like any other. Other columns are ignored.
     """
 

@@ -114,6 +114,43 @@ def test_functions_with_documentation(spark):
     assert N.documented_functions(df.limit(0)).count() == 0
 
 
+def test_bases_are_found_by_module_and_import(spark):
+    base = b'class Base:\n    def run(self):\n        """%s walks all rows of the table."""\n'
+    files = [
+        ("a/base.py", base % b"Alpha"), ("b/base.py", base % b"Beta"), ("b/leaf.py", b"from .base import Base as B\nclass Leaf(B):\n    def run(self):\n        pass\n"),
+        ("c/leaf.py", b"import a.base\nclass Leaf(a.base.Base):\n    def run(self):\n        pass\n"), ("c/lost.py", b"class Lost(Base):\n    def run(self):\n        pass\n"), ("c/far.py", b"from elsewhere import Only\nclass Far(Only):\n    def go(self):\n        pass\n"),
+        ("d/only.py", b'class Only:\n    def go(self):\n        """Only place that says what go does."""\n'), ("d/near.py", b"class Near(Only):\n    def go(self):\n        pass\n"),
+        ("x/shape.js", b"export class Shape {\n  /** Draws the outline of this shape now. */\n  draw() {}\n}\n"), ("y/shape.js", b"export class Shape {\n  /** Another text about drawing some shape. */\n  draw() {}\n}\n"), ("y/box.js", b"import { Shape as S } from '../x/shape.js'\nclass Box extends S {\n  draw() {}\n}\n"),
+        ("src/walk.rs", b"pub trait Walk {\n    /// Visits every node of the tree.\n    fn walk(&self);\n}\n"), ("src/tree.rs", b"use crate::walk::Walk;\nimpl Walk for Tree {\n    fn walk(&self) {}\n}\n"),
+        ("g/one.go", b"package g\n\ntype A struct{}\n\n// Len counts stored items quickly.\nfunc (a A) Len() int { return 0 }\n"), ("g/two.go", b"package g\n\ntype B struct {\n\tA\n}\n\nfunc (b B) Len() int { return 1 }\n"),
+    ]
+    df = table(spark, [(p, ".", c) for p, c in files])
+    out = {(r.file_id, r.name): r.docstring.split()[0] for r in N.documented_functions(df.unionByName(df)).where("doc_source = 'inherited'").collect()}
+    # an import from elsewhere finds nothing, and so does a name that two modules hold
+    assert out == {(2, "run"): "Beta", (3, "run"): "Alpha", (7, "go"): "Only", (10, "draw"): "Draws", (12, "walk"): "Visits", (14, "Len"): "Len"}
+
+
+def test_toml_definitions_agree_with_the_standard_library():
+    import random
+    import tomllib
+
+    rng = random.Random(5)
+    keys = ["a", "b", "c", '"a"', "'b'", "a.b", "a.c", "b.a", "a.b.c", '"\\u0061"']
+    values = ["1", "[1, 2]", "{a=1}", "{a.b=1, a.c=2}", "{a=1,a=2}", "[{a=1},{b=2}]", "{}", "2020-02-30", "1979-05-27T07:32:00Z", "25:00:00", "2020-02-29", "{a.b=1,a=2}", "[[1],{a={b=1}}]"]
+    for _ in range(4000):
+        lines = []
+        for _ in range(rng.randint(1, 7)):
+            r, k = rng.random(), rng.choice(keys)
+            lines.append(f"[{k}]" if r < 0.25 else f"[[{k}]]" if r < 0.4 else f"{k} = {rng.choice(values)}")
+        text = "\n".join(lines) + "\n"
+        try:
+            tomllib.loads(text)
+            want = True
+        except tomllib.TOMLDecodeError:
+            want = False
+        assert P.parse("toml", text.encode()).valid == want, text
+
+
 def test_name_words():
     assert not N.described("The proposal palette.", "attach_proposal_palette") and N.described("Returns all kept rows.", "getX")
     assert not N.described("Reads HTTP data", "readHTTPData") and N.described("one two three four\n@param x", "f") and not N.described("# Arguments\none two three four five", "f")

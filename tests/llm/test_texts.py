@@ -132,3 +132,39 @@ def test_leaks_agree_with_brute_force(spark):
     assert rows(L.leaked_items(df, it.limit(0))) == [] and rows(L.leaked_items(df.limit(0), it)) == []
     one = spark.createDataFrame([(1, "say ALPHA-beta, alpha beta!")], "doc_id long, text string")
     assert rows(L.leaked_spans(one, spark.createDataFrame([(7, "alpha beta")], "item_id long, text string"))) == [(1, 16, 26, [7]), (1, 4, 14, [7])]
+
+
+def brute_spans(docs, items):
+    """Each document's characters that phrases cover, as joined spans."""
+    out = []
+    for d, text in docs:
+        found = [(m.group().lower(), m.start(), m.end()) for m in L.WORD.finditer(text or "")]
+        held = []
+        for i, t in items:
+            w = L.words(t or "")
+            n = min(13, len(w))
+            for a in range(len(w) - n + 1) if n else ():
+                held += [(found[b][1], found[b + n - 1][2], i) for b in range(len(found) - n + 1) if [x for x, _, _ in found[b : b + n]] == w[a : a + n]]
+        joined = []
+        for a, b, i in sorted(held):
+            if joined and a <= joined[-1][1]:
+                joined[-1] = (joined[-1][0], max(joined[-1][1], b), joined[-1][2] | {i})
+            else:
+                joined.append((a, b, {i}))
+        out += [(d, b, sorted(i), a) for a, b, i in joined]
+    return sorted(out)
+
+
+def test_leaked_spans_in_one_block_and_in_several(spark, monkeypatch):
+    rng = random.Random(9)
+    vocabulary = ["alpha", "Beta", "gamma_delta", "straße", "x1", "né"]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([2, 3, 13, 20])))) for i in range(12)] + [(50, None)]
+    docs = [(d, " ".join([*rng.choices([*vocabulary, "other"], k=40), items[d % 12][1], *rng.choices(vocabulary, k=5)])) for d in range(20)] + [(90, None), (91, "")]
+    df = spark.createDataFrame([*docs, docs[0]], "doc_id long, text string")
+    it = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_spans(docs, items)
+    for size in (L.BLOCK_BYTES, 200):
+        monkeypatch.setattr(L, "BLOCK_BYTES", size)
+        got = sorted((r.doc_id, r.end_char, r["items"], r.start_char) for r in L.leaked_spans(df, it).collect())
+        assert got == want, size
+        assert rows(L.leaked_items(df, it)) == sorted(brute_leaks(docs, items), key=repr)
