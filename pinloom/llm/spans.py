@@ -1,9 +1,11 @@
 """Long exact spans shared between records, by repeated-phrase automata.
 
-A phrase is a run of ``run`` consecutive lines. Phrases that recur are first found by hash, from 16 bytes for each line.
-The passages they make up are routed to shards by their minimizer, a hash of a few lines that all passages holding the same
-phrase share. Every shard confirms its phrases by the bytes of their lines, compiles them into an Aho-Corasick automaton over
-line symbols, and streams the passages through it to locate every occurrence.
+A phrase is a run of ``run`` consecutive lines. Every phrase lies in a passage: neighbouring phrases with one minimizer, the
+least hash among the groups of a few lines that they hold, so that equal phrases have equal minimizers. Passages whose
+minimizer occurs in one record alone are dropped. The others are routed to shards by their minimizer, one text for all copies.
+Every shard confirms the phrases that records share by the bytes of their lines, compiles them into an Aho-Corasick automaton
+over line symbols, and streams its passages through it to locate every occurrence. As equal phrases always meet in one shard,
+no document need be streamed against the automata of the others.
 """
 
 from __future__ import annotations
@@ -18,12 +20,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pinloom.llm.arrow import batches_of, columns
-from pinloom.plans.sizing import partitions_for
+from pinloom.plans.sizing import checkpointed, partitions_for
 
 RUN = 12
 #: Lines hashed together for the minimizer. More than one, so that lines common everywhere don't draw all passages.
 SHINGLE = 4
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -51,40 +52,6 @@ def rolled(hashes: np.ndarray, width: int, mix: np.uint64) -> np.ndarray:
         return (out ^ (out >> np.uint64(32))) * mix
 
 
-WINDOWS = pa.schema([("_h1", pa.int64()), ("_h2", pa.int64()), ("_id", pa.int64()), ("_at", pa.int32())])
-
-
-def _windows(run: int):
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held: list[tuple[np.ndarray, np.ndarray, int]] = []
-            size = 0
-            for i, content in columns(batch, "_id", "_c"):
-                hashes = line_hashes(lines_of(content))
-                h1 = rolled(hashes, run, _MIX)
-                if not len(h1):
-                    continue
-                held.append((h1, rolled(hashes, run, _MIX2), i))
-                size += len(h1)
-                if size > 200_000:
-                    yield _window_batch(held)
-                    held, size = [], 0
-            if held:
-                yield _window_batch(held)
-
-    return go
-
-
-def _window_batch(held: list[tuple[np.ndarray, np.ndarray, int]]) -> pa.RecordBatch:
-    arrays = [
-        np.concatenate([h for h, _, _ in held]).view(np.int64),
-        np.concatenate([h for _, h, _ in held]).view(np.int64),
-        np.repeat(np.array([i for _, _, i in held], np.int64), [len(h) for h, _, _ in held]),
-        np.concatenate([np.arange(len(h), dtype=np.int32) for h, _, _ in held]),
-    ]
-    return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], schema=WINDOWS)
-
-
 def minimizers(hashes: np.ndarray, run: int, shingle: int) -> np.ndarray:
     """For each run of lines the least hash among its shingles; the same for equal runs, wherever they stand."""
     parts = rolled(hashes, shingle, _MIX2)
@@ -94,34 +61,50 @@ def minimizers(hashes: np.ndarray, run: int, shingle: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(parts, width).min(axis=1)
 
 
-def passages(hashes: np.ndarray, starts: np.ndarray, run: int, shingle: int) -> list[tuple[int, int, int]]:
-    """(minimizer, first line, lines): the given runs, joined while they are neighbours with one minimizer."""
-    least = minimizers(hashes, run, shingle)[starts]
-    new = np.ones(len(starts), dtype=bool)
-    new[1:] = (starts[1:] != starts[:-1] + 1) | (least[1:] != least[:-1])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(starts)) - 1
-    return [(int(m), int(a), int(b - a) + run) for m, a, b in zip(least[first].view(np.int64), starts[first], starts[last])]
+def passages(hashes: np.ndarray, run: int, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(minimizer, first line, lines) of each passage."""
+    least = minimizers(hashes, run, shingle)
+    if not len(least):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+    return least[first].view(np.int64), first, np.diff(np.append(first, len(least))) + run - 1
 
 
-PASSAGES = pa.schema([("_m", pa.int64()), ("_id", pa.int64()), ("_at", pa.int32()), ("_t", pa.binary()), ("_p", pa.binary())])
+PASSAGES = pa.schema([("_m", pa.int64()), ("_id", pa.int64()), ("_at", pa.int32()), ("_n", pa.int32()), ("_p", pa.binary())])
+TEXTS = pa.schema([("_m", pa.int64()), ("_p", pa.binary()), ("_t", pa.binary()), ("_low", pa.int64()), ("_high", pa.int64())])
 
 
-def _passages(run: int, shingle: int, with_text: bool):
+def _passages(run: int, shingle: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for i, content, starts in columns(batch, "_id", "_c", "_starts"):
+            for i, content in columns(batch, "_id", "_c"):
                 lines = lines_of(content)
-                for m, a, n in passages(line_hashes(lines), np.unique(np.array(starts, np.int64)), run, shingle):
-                    text = b"\n".join(lines[a : a + n])
-                    yield m, i, a, text if with_text else None, xxhash.xxh3_128_digest(text)
+                if len(lines) < run:
+                    continue
+                ends = np.cumsum([len(x) + 1 for x in lines])
+                for m, at, n in zip(*(x.tolist() for x in passages(line_hashes(lines), run, shingle))):
+                    begin = ends[at - 1] if at else 0
+                    yield m, i, at, n, xxhash.xxh3_128_digest(content[begin : ends[at + n - 1] - 1])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return batches_of(rows(batches), PASSAGES, 2_000)
+        return batches_of(rows(batches), PASSAGES)
 
     return go
 
 
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of the passages that a record stands for."""
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for content, wanted in columns(batch, "_c", "_w"):
+                lines = lines_of(content)
+                for w in wanted:
+                    yield w["m"], w["p"], b"\n".join(lines[w["at"] : w["at"] + w["n"]]), w["low"], w["high"]
+
+    return batches_of(rows(), TEXTS, 2_000)
+
+
 def confirmed(texts: list[bytes], low: list[int], high: list[int], run: int) -> list[list[tuple[int, int]]]:
     """For each passage of a shard the line spans [a, b) that its confirmed phrases cover.
 
@@ -159,6 +142,9 @@ def confirmed(texts: list[bytes], low: list[int], high: list[int], run: int) ->
 SHARED = pa.schema([("_m", pa.int64()), ("_p", pa.binary()), ("_spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
 #: Passages of one automaton. A partition's passages arrive sorted by minimizer, and one minimizer is never split.
 SHARD_ROWS = 50_000
+#: Different passages of one minimizer, above which its phrases are compared one by one, spread by their own hashes.
+HOT_PASSAGES = 10_000
+PHRASES = pa.schema([("_m", pa.int64()), ("_p", pa.binary()), ("_a", pa.int32()), ("_h", pa.binary()), ("_low", pa.int64()), ("_high", pa.int64())])
 
 
 def _confirm(run: int):
@@ -185,25 +171,44 @@ def _confirm(run: int):
     return go
 
 
+def _phrases(run: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for m, p, t, low, high in columns(batch, "_m", "_p", "_t", "_low", "_high"):
+                lines = t.split(b"\n")
+                for k in range(len(lines) - run + 1):
+                    yield m, p, k, xxhash.xxh3_128_digest(b"\n".join(lines[k : k + run])), low, high
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batches_of(rows(batches), PHRASES)
+
+    return go
+
+
 def shared_spans(df: DataFrame, key: str = "file_id", content: str = "content", run: int = RUN, shingle: int = SHINGLE) -> DataFrame:
     """The maximal blocks of shared lines of every record: (key, start_line, end_line, shared_lines), lines counted from 1.
 
     A line is shared if it lies in a run of ``run`` consecutive lines that occurs byte for byte in a record with another key.
-    shared_lines is the sum over the record's blocks. Repeated rows count once. Records with null or empty content, or with
+    Copies of a passage are told by a 128-bit hash, the lines of different passages byte by byte. shared_lines is the sum over the record's blocks. Repeated rows count once. Records with null or empty content, or with
     fewer lines than a run, have none; so have records without a key. Other columns are ignored.
     """
     source = df.where(F.col(f"`{key}`").isNotNull() & (F.octet_length(f"`{content}`") >= run)).select(F.col(f"`{key}`").cast("long").alias("_id"), F.col(f"`{content}`").alias("_c"))
-    windows = source.mapInArrow(_windows(run), "_h1 long, _h2 long, _id long, _at int")
-    # every window occupies its record's own lines, so recurrence across records shows in the least and greatest key
-    recurring = windows.groupBy("_h1", "_h2").agg(F.min("_id").alias("a"), F.max("_id").alias("b")).where("a <> b").select("_h1", "_h2")
-    marked = windows.join(recurring, ["_h1", "_h2"], "left_semi").groupBy("_id").agg(F.collect_set("_at").alias("_starts"))
-    files = source.join(marked, "_id")
-    fields = "_m long, _id long, _at int, _t binary, _p binary"
-    texts = files.mapInArrow(_passages(run, shingle, True), fields).groupBy("_m", "_p", "_t").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high"))
-    sharded = texts.repartition(partitions_for(df, per_byte=3.0), "_m").sortWithinPartitions("_m")
-    spans = sharded.mapInArrow(_confirm(run), "_m long, _p binary, _spans array<struct<a:int,b:int>>")
-    places = files.mapInArrow(_passages(run, shingle, False), fields).select("_m", "_p", "_id", "_at").distinct()
-    located = places.join(spans, ["_m", "_p"]).select("_id", "_at", F.inline("_spans")).select("_id", (F.col("_at") + F.col("a")).alias("a"), (F.col("_at") + F.col("b")).alias("b"))
+    every = checkpointed(source.mapInArrow(_passages(run, shingle), "_m long, _id long, _at int, _n int, _p binary"))
+    # a minimizer's records show in the least and greatest key, so one that all files hold is settled by a combining aggregate
+    recurring = every.groupBy("_m").agg(F.min("_id").alias("a"), F.max("_id").alias("b")).where("a <> b").select("_m")
+    places = every.join(recurring, "_m", "left_semi")
+    # one record stands for all copies of a passage
+    copies = places.groupBy("_m", "_p").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high"), F.min(F.struct("_id", "_at", "_n")).alias("_r"))
+    wanted = copies.groupBy(F.col("_r._id").alias("_id")).agg(F.collect_list(F.struct(F.col("_m").alias("m"), F.col("_p").alias("p"), F.col("_r._at").alias("at"), F.col("_r._n").alias("n"), F.col("_low").alias("low"), F.col("_high").alias("high"))).alias("_w"))
+    texts = wanted.join(source.dropDuplicates(["_id"]), "_id").mapInArrow(_fetch, "_m long, _p binary, _t binary, _low long, _high long")
+    counts = copies.groupBy("_m").agg(F.count("*").alias("_copies")).where(F.col("_copies") > HOT_PASSAGES).select("_m", F.lit(True).alias("_hot"))
+    routed = checkpointed(texts.join(counts, "_m", "left"))
+    sharded = routed.where("_hot IS NULL").repartition(partitions_for(df, per_byte=3.0), "_m").sortWithinPartitions("_m")
+    spans = sharded.mapInArrow(_confirm(run), "_m long, _p binary, _spans array<struct<a:int,b:int>>").select("_m", "_p", F.inline("_spans"))
+    phrases = routed.where("_hot").mapInArrow(_phrases(run), "_m long, _p binary, _a int, _h binary, _low long, _high long")
+    shared = phrases.groupBy("_h").agg(F.min("_low").alias("x"), F.max("_high").alias("y")).where("x <> y").select("_h")
+    hot = phrases.join(shared, "_h", "left_semi").select("_m", "_p", F.col("_a").alias("a"), (F.col("_a") + run).cast("int").alias("b"))
+    located = places.join(spans.unionByName(hot), ["_m", "_p"]).select("_id", (F.col("_at") + F.col("a")).alias("a"), (F.col("_at") + F.col("b")).alias("b")).distinct()
     return merged(located, key)
 
 

@@ -29,7 +29,7 @@ def brute_shared(files, run):
     return sorted(out)
 
 
-def test_shared_spans_agree_with_brute_force(spark):
+def test_shared_spans_agree_with_brute_force(spark, monkeypatch):
     rng = random.Random(2)
     base = [b"".join(b"line %d\n" % rng.randrange(40) for _ in range(60)) for _ in range(3)]
     files = []
@@ -42,6 +42,9 @@ def test_shared_spans_agree_with_brute_force(spark):
     got = S.shared_spans(df).select("file_id", "start_line", "end_line")
     assert rows(got) == sorted(brute_shared([f for f in files if f[1] is not None], 12), key=repr)
     assert rows(S.shared_spans(df.limit(0))) == []
+    # a minimizer that many passages share is compared phrase by phrase
+    monkeypatch.setattr(S, "HOT_PASSAGES", 1)
+    assert rows(S.shared_spans(df).select("file_id", "start_line", "end_line")) == rows(got)
 
 
 def test_packing_fills_and_assigns_everything():
