@@ -83,16 +83,31 @@ DEFINITIONS = {
         r"^\s*impl\s+(?:<[^>]*>\s+)?N\b",
     ),
     "go": (r"^\s*func\s+(?:\([^)]*\)\s+)?N\b", r"^\s*type\s+N\s+(?:struct|interface)\b", r"^\s*(?:const|var)\s+N\b"),
-    "javascript": (r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*N\b", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+N\b", r"^\s*(?:export\s+)?(?:const|let|var)\s+N\s*(?::[^=]+)?=", r"^\s*(?:(?:public|protected|private|static|abstract|override|readonly|async|get|set)\s+)*N\s*\([^\r\n{};]*\)(?:\s*:\s*[^={;]+)?\s*\{"),
-    "java": (r"^\s*(?:(?:public|protected|private|static|final|abstract)\s+)*(?:class|interface|enum|record)\s+N\b", r"^\s*(?:(?:public|protected|private|static|final|abstract|synchronized)\s+)+[\w<>\[\], ?]+\s+N\s*\("),
-    "c": (r"^\s*(?:struct|enum|union)\s+N\b\s*\{?", r"^\s*#\s*define\s+N\b", r"^\s*(?:[A-Za-z_]\w*[\s*]+)+N\s*\([^;]*\)\s*\{?$"),
-}
-DEFINITIONS["typescript"] = (*DEFINITIONS["javascript"], r"^\s*(?:export\s+)?(?:interface|type|enum|namespace)\s+N\b")
-DEFINITIONS["cpp"] = (*DEFINITIONS["c"], r"^\s*(?:class|namespace)\s+N\b")
-#: Words that a signature line holds.
-SIGNATURE_WORDS = {"python": ("def ", "class "), "rust": ("fn ", "struct ", "trait "), "go": ("func", "type"), "javascript": ("function", "class ", "=>", "("), "typescript": ("function", "class ", "interface ", "=>", "("), "java": ("class ", "interface ", "("), "c": ("(", "struct "), "cpp": ("(", "class ", "struct ")}
-#: How import lines begin or what they hold, after stripping.
-IMPORT_HEADS = {"python": ("import ", "from "), "rust": ("use ",), "javascript": ("import",), "typescript": ("import",), "java": ("import ",), "c": ("#include",), "cpp": ("#include",)}
+}
+_MODIFIERS = r"(?:(?:public|protected|private|static|abstract|override|readonly|async|get|set)\s+)*"
+#: The same for languages whose comments and strings are masked; N is the name, followed by what ends it.
+DEFINITIONS["javascript"] = (
+    r"^\s*export\s+(?:default\s+)?(?:async\s+)?function\s+N\s*\([^\r\n{};]*\)",
+    r"^\s*export\s+(?:default\s+)?class\s+N(?![\w$])",
+    r"^\s*export\s+(?:declare\s+)?(?:const|let|var)\s+N\s*(?::\s*[^=;]+)?\s*=",
+    r"^\s*(?:export\s+)?(?:async\s+)?function\s+N\b(?!\$+\w)",
+    r"^\s*(?:export\s+)?class\s+N\b(?!\$+\w)",
+    r"^\s*(?:export\s+)?(?:const|let|var)\s+N\s*(?::[^=]+)?=",
+    rf"^\s*{_MODIFIERS}N\s*\([^\r\n{{}};]*\)(?:\s*:\s*[^={{;]+)?\s*\{{",
+)
+DEFINITIONS["typescript"] = DEFINITIONS["javascript"]
+DEFINITIONS["java"] = (
+    r"^\s*(?:(?:public|protected|private|abstract|final|static|sealed|non-sealed)\s+)*(?:class|interface|enum|record)\s+N\b(?!\$+\w)",
+    r"^\s*(?:(?:public|protected|private|abstract|final|static|synchronized|native|default)\s+)*(?:<[^>]+>\s+)?[A-Za-z_$][\w$<>,.?\[\]]*\s+N\s*\([^;]*\)\s*(?:throws\b[^\{]+)?\{",
+)
+DEFINITIONS["c"] = (r"^\s*(?:[A-Za-z_]\w*[\s*]+)+N\s*\([^;]*\)\s*\{", r"^\s*(?:typedef\s+)?(?:struct|union|enum)\s+N\b", r"^\s*typedef\b.*\bN\s*;\s*$")
+DEFINITIONS["cpp"] = DEFINITIONS["c"]
+#: Words that a signature line holds; of masked languages a definition of any name.
+SIGNATURE_WORDS = {"python": ("def ", "class "), "rust": ("fn ", "struct ", "trait "), "go": ("func", "type")}
+#: How import lines begin or what they hold.
+IMPORTS = {"python": r"^\s*(?:import |from )", "rust": r"^\s*use ", "javascript": r"^\s*import\b|\brequire\s*\(", "typescript": r"^\s*import\b|\brequire\s*\(", "java": r"^\s*import\s+", "c": r"^\s*#\s*include\b", "cpp": r"^\s*#\s*include\b"}
+#: Names as masked languages have them.
+NAME = r"[A-Za-z_$][\w$]*"
 
 
 def any_of(columns: list[Column]) -> Column:
@@ -106,6 +121,11 @@ def holds_word(line: Column, value: str) -> Column:
     return line.rlike(rf"{FLAGS}\b{quoted(value)}\b")
 
 
+def definition_pattern(language: str, name: str) -> str:
+    """The definitions of a name, as one Java pattern."""
+    return "|".join(re.sub(r"(?<![A-Za-z])N(?![A-Za-z])", lambda _: name, d) for d in DEFINITIONS[language])
+
+
 def line_predicate(p: Predicate, language: str) -> Callable[[Column], Column] | None:
     """The test of one line under a language's rules; null for a regex that only Python can run."""
     v = p.value
@@ -117,22 +137,33 @@ def line_predicate(p: Predicate, language: str) -> Callable[[Column], Column] |
             return None
         if p.kind == "regex":
             return lambda line: line.rlike(pattern)
+        if language in MASKED:
+            anything = FLAGS + definition_pattern(language, NAME)
+            return lambda line: line.rlike(pattern) & line.rlike(anything)
         return lambda line: line.rlike(pattern) & any_of([line.contains(w) for w in SIGNATURE_WORDS[language]])
     if p.kind == "identifier":
         return lambda line: holds_word(line, v)
     if p.kind == "token_sequence":
         tokens = r"\s+".join(quoted(t) for t in v.split())
         return lambda line: line.rlike(rf"{FLAGS}\b{tokens}\b")
-    if p.kind == "call":
-        opening = "[(<]" if language == "rust" else r"\("
-        return lambda line: line.rlike(rf"{FLAGS}\b{quoted(v)}\s*{opening}")
     if p.kind == "import":
         if language == "go":
             return lambda line: (line.contains("import") | line.contains('\t"')) & line.contains(v)
-        # stripping is Python's, of all white space
-        heads = "|".join(quoted(h) for h in IMPORT_HEADS[language])
-        return lambda line: line.rlike(rf"{FLAGS}^\s*(?:{heads})") & line.contains(v)
-    definition = "|".join(d.replace("N", quoted(v)) if "N" in d else d for d in DEFINITIONS[language])
+        return lambda line: line.rlike(FLAGS + IMPORTS[language]) & line.contains(v)
+    if language in MASKED:
+        if not re.fullmatch(NAME, v):
+            return lambda line: F.lit(False)
+        alone = rf"{FLAGS}(?<![\w$]){quoted(v)}(?![\w$])"
+        if p.kind == "call":
+            return lambda line: line.rlike(rf"{alone}\s*\(")
+        definition = FLAGS + definition_pattern(language, quoted(v))
+        if p.kind == "symbol_definition":
+            return lambda line: line.rlike(definition)
+        return lambda line: line.rlike(alone) & ~line.rlike(definition)
+    if p.kind == "call":
+        opening = "[(<]" if language == "rust" else r"\("
+        return lambda line: line.rlike(rf"{FLAGS}\b{quoted(v)}\s*{opening}")
+    definition = definition_pattern(language, quoted(v))
     if p.kind == "symbol_definition":
         return lambda line: line.rlike(FLAGS + definition)
     if p.kind == "symbol_reference":
@@ -153,10 +184,10 @@ def path_predicate(p: Predicate, path: Column) -> Column:
     return path.contains(p.value) | path.rlike(pattern) if pattern else path.contains(p.value)
 
 
-_MASK = re.compile(r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\[\s\S])*(?:\"|(?=\n)|\Z)|'(?:[^'\\\n]|\\[\s\S])*(?:'|(?=\n)|\Z)|`(?:[^`\\]|\\[\s\S])*(?:`|\Z)")
+_MASK = re.compile(r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)" + "".join(rf"|{q}(?:[^{q}\\]|\\[\s\S])*(?:{q}|\\?\Z)" for q in "\"'`"))
 _VISIBLE = re.compile(r"[^\n]")
 
 
 def masked(text: str) -> str:
-    """A text with comments and strings blanked out; line ends stay, so that lines keep their numbers."""
+    """A text with comments and strings blanked out; line ends stay, so that lines keep their numbers. A string ends only at its quote."""
     return _MASK.sub(lambda m: _VISIBLE.sub(" ", m.group()), text)

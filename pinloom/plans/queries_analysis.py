@@ -100,7 +100,7 @@ def drift_report(spark: SparkSession, d: str) -> DataFrame:
     return D.drift(once, side(6), ["slug", "qualified_name"], ["path", "line"])
 
 
-_HITS = "h AS (SELECT DISTINCT slug, path, md5(coalesce(signature, '')) AS commit_sha, md5(coalesce(docstring, '')) AS blob_sha FROM symbol_snapshots WHERE snapshot_no = 1)"
+_HITS = "h AS (SELECT DISTINCT slug, path, md5(coalesce(signature, '')) AS commit_sha, md5(coalesce(docstring, '')) AS blob_sha FROM symbol_snapshots)"
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:

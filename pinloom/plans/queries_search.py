@@ -10,15 +10,21 @@ from pinloom.operators import trigram as T
 from pinloom.plans.registry import query
 from pinloom.plans.search import search
 from pinloom.plans.spec import Predicate, SearchSpec, translation
-from pinloom.sources.blobs import document_blobs, line_rows
+from pinloom.sources.blobs import document_blobs, file_blobs, line_rows
 from pinloom.sources.tables import table
 
-#: The documents as blobs and, of those with an adapter that sees plain text, as lines.
-BLOBS = r"""
+#: Comments and strings of JavaScript, whose lines are searched without them.
+_MASKED = r"""list_transform(regexp_extract_all(text, '//[^\n]*|/\*(?s:.*?)(?:\*/|\z)|"(?:[^"\\]|\\(?s:.))*(?:"|\\?\z)|''(?:[^''\\]|\\(?s:.))*(?:''|\\?\z)|`(?:[^`\\]|\\(?s:.))*(?:`|\\?\z)|[^/"''`]+|/'),
+  lambda x: CASE WHEN x[1] IN (chr(34), chr(39), chr(96)) OR x[1:2] IN ('//', '/*') THEN regexp_replace(x, '[^\n]', ' ', 'g') ELSE x END)"""
+#: The lines of texts t of some rows.
+_LINES = "CASE WHEN t = '' THEN [] WHEN right(t, 1) = chr(10) THEN string_split(t, chr(10))[:-2] ELSE string_split(t, chr(10)) END"
+#: The documents as blobs (b), those with an adapter with the text it sees (f), and their lines (l).
+BLOBS = rf"""
 b AS (SELECT source AS slug, sha1(source) AS commit_sha, text, octet_length(encode(text)) AS size,
-  coalesce(lang, 'none') || '/' || doc_id || CASE lang WHEN 'en' THEN '.py' WHEN 'fr' THEN '.rs' WHEN 'de' THEN '.go' WHEN 'javascript' THEN '.js' ELSE '.txt' END AS path,
+  coalesce(lang, 'none') || '/' || doc_id || CASE lower(trim(lang)) WHEN 'en' THEN '.py' WHEN 'python' THEN '.py' WHEN 'fr' THEN '.rs' WHEN 'rust' THEN '.rs' WHEN 'de' THEN '.go' WHEN 'go' THEN '.go' WHEN 'javascript' THEN '.js' ELSE '.txt' END AS path,
   sha1(encode('blob ' || octet_length(encode(text))) || '\x00'::BLOB || encode(text)) AS blob_sha FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
-f AS (SELECT *, CASE WHEN text = '' THEN [] WHEN right(text, 1) = chr(10) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS ls FROM b WHERE regexp_matches(path, '\.(py|rs|go)$')),
+f0 AS (SELECT *, CASE WHEN path LIKE '%.js' THEN array_to_string({_MASKED}, '') ELSE text END AS t FROM b WHERE regexp_matches(path, '\.(py|rs|go|js)$')),
+f AS (SELECT *, {_LINES} AS ls FROM f0),
 l AS (SELECT slug, commit_sha, path, blob_sha, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM f)
 """.strip()
 COLUMNS = "slug, commit_sha, path, blob_sha, CAST(n AS INTEGER) AS start_line, CAST(n AS INTEGER) AS end_line"
@@ -46,12 +52,11 @@ _search("scoped_exact_text", plain(_ADAPTER), "contains(line, 'adapter')", "1",
 _search("scoped_identifier", plain(_LEDGER), word("ledger"), "1", "['identifier']")
 _search("scoped_regex", plain(_RELEASE), r"regexp_matches(line, '^In release \d+\.\d+ the ([\p{L}\p{N}_]+) [a-z]+ moved')", "1", "['regex']")
 _search("token_sequence", plain(Predicate("token_sequence", "returns the  optional")), r"regexp_matches(line, '(^|[^\p{L}\p{N}_])returns[ \t\n\r\f\v]+the[ \t\n\r\f\v]+optional([^\p{L}\p{N}_]|$)')", "1", "['token_sequence']")
-_DEF = r"((path LIKE '%.py' AND regexp_matches(line, '^\s*((async\s+)?(def|class)\s+acc([^\p{L}\p{N}_]|$)|acc\s*[:=])')) OR (path LIKE '%.rs' AND regexp_matches(line, '^\s*(pub(\([^)]*\))?\s+)?((async\s+)?(unsafe\s+)?(fn|struct|enum|trait|type|mod)|const|static)\s+acc([^\p{L}\p{N}_]|$)')) OR (path LIKE '%.go' AND regexp_matches(line, '^\s*(func\s+(\([^)]*\)\s+)?|type\s+|(const|var)\s+)acc([^\p{L}\p{N}_]|$)')))"
+_DEF = r"((path LIKE '%.py' AND regexp_matches(line, '^\s*((async\s+)?(def|class)\s+acc([^\p{L}\p{N}_]|$)|acc\s*[:=])')) OR (path LIKE '%.rs' AND regexp_matches(line, '^\s*(pub(\([^)]*\))?\s+)?((async\s+)?(unsafe\s+)?(fn|struct|enum|trait|type|mod)|const|static)\s+acc([^\p{L}\p{N}_]|$)')) OR (path LIKE '%.go' AND regexp_matches(line, '^\s*(func\s+(\([^)]*\)\s+)?|type\s+|(const|var)\s+)acc([^\p{L}\p{N}_]|$)')) OR (path LIKE '%.js' AND regexp_matches(line, '^\s*(export\s+)?(default\s+)?((async\s+)?function|class)\s+acc([^\p{L}\p{N}_$]|\$+([^\p{L}\p{N}_$]|$)|$)|^\s*(export\s+)?(declare\s+)?(const|let|var)\s+acc\s*(:[^=]+)?=|^\s*((public|protected|private|static|abstract|override|readonly|async|get|set)\s+)*acc\s*\([^\r\n{};]*\)(\s*:\s*[^={;]+)?\s*\{')))"
 _search("symbol_definition", plain(Predicate("symbol_definition", "acc")), _DEF, "1", "['symbol_definition']")
-_search("symbol_reference", plain(Predicate("symbol_reference", "acc")), f"{word('acc')} AND NOT {_DEF}", "1", "['symbol_reference']")
-_search("call_predicate", plain(Predicate("call", "len")), r"regexp_matches(line, '(^|[^\p{L}\p{N}_])len\s*(\(|<)') AND (path LIKE '%.rs' OR regexp_matches(line, '(^|[^\p{L}\p{N}_])len\s*\('))", "1", "['call']")
-_search("import_predicate", plain(Predicate("import", "import")), r"contains(line, 'import') AND ((path LIKE '%.py' AND regexp_matches(line, '^\s*(import |from )')) OR (path LIKE '%.rs' AND regexp_matches(line, '^\s*use ')) OR (path LIKE '%.go' AND (contains(line, 'import') OR contains(line, chr(9) || '\"'))))", "1", "['import']")
-_search("signature_predicate", plain(Predicate("signature", r"\w+\(\w+, \w+=\d+\)")), r"regexp_matches(line, '[\p{L}\p{N}_]+\([\p{L}\p{N}_]+, [\p{L}\p{N}_]+=\d+\)') AND ((path LIKE '%.py' AND (contains(line, 'def ') OR contains(line, 'class '))) OR (path LIKE '%.rs' AND (contains(line, 'fn ') OR contains(line, 'struct ') OR contains(line, 'trait '))) OR (path LIKE '%.go' AND (contains(line, 'func') OR contains(line, 'type'))))", "1", "['signature']")
+_search("symbol_reference", plain(Predicate("symbol_reference", "acc")), rf"(CASE WHEN path LIKE '%.js' THEN regexp_matches(line, '(^|[^\p{{L}}\p{{N}}_$])acc([^\p{{L}}\p{{N}}_$]|$)') ELSE {word('acc')} END) AND NOT {_DEF}", "1", "['symbol_reference']")
+_search("call_predicate", plain(Predicate("call", "len")), r"regexp_matches(line, '(^|[^\p{L}\p{N}_])len\s*(\(|<)') AND (path LIKE '%.rs' OR regexp_matches(line, '(^|[^\p{L}\p{N}_])len\s*\(')) AND (path NOT LIKE '%.js' OR regexp_matches(line, '(^|[^\p{L}\p{N}_$])len\s*\('))", "1", "['call']")
+_search("signature_predicate", plain(Predicate("signature", r"\w+\(\w+, \w+=\d+\)")), r"regexp_matches(line, '[\p{L}\p{N}_]+\([\p{L}\p{N}_]+, [\p{L}\p{N}_]+=\d+\)') AND ((path LIKE '%.py' AND (contains(line, 'def ') OR contains(line, 'class '))) OR (path LIKE '%.rs' AND (contains(line, 'fn ') OR contains(line, 'struct ') OR contains(line, 'trait '))) OR (path LIKE '%.go' AND (contains(line, 'func') OR contains(line, 'type'))) OR (path LIKE '%.js' AND regexp_matches(line, '^\s*(export\s+)?(default\s+)?((async\s+)?function|class)\s+[A-Za-z_$]|^\s*(export\s+)?(declare\s+)?(const|let|var)\s+[A-Za-z_$][\p{L}\p{N}_$]*\s*(:[^=]+)?=|^\s*((public|protected|private|static|abstract|override|readonly|async|get|set)\s+)*[A-Za-z_$][\p{L}\p{N}_$]*\s*\([^\r\n{};]*\)(\s*:\s*[^={;]+)?\s*\{')))", "1", "['signature']")
 _search("must_and_line", plain(_ADAPTER, _LEDGER), f"contains(line, 'adapter') AND {word('ledger')}", "2", "['exact_text', 'identifier']")
 _FILES = ", s AS (SELECT path AS p, bool_or(contains(line, 'adapter')) AS a, bool_or(contains(line, 'cache')) AS c, bool_or({w}) AS w FROM l GROUP BY path)".replace("{w}", word("ledger"))
 _search("must_and_wholefile", plain(_ADAPTER, _LEDGER, whole_file_must=True), f"path IN (SELECT p FROM s WHERE a AND w) AND (contains(line, 'adapter') OR {word('ledger')})", "2", f"list_filter([CASE WHEN contains(line, 'adapter') THEN 'exact_text' END, CASE WHEN {word('ledger')} THEN 'identifier' END], lambda x: x IS NOT NULL)", _FILES)
@@ -63,13 +68,36 @@ _search("path_only_should", plain(Predicate("path", "en/1"), should=(_ADAPTER,))
 _search("language_required", plain(Predicate("exact_text", "adapter", "Py")), "contains(line, 'adapter') AND path LIKE '%.py'", "1", "['exact_text']")
 
 
+#: Pinned files as blobs; of their bytes those above 127 are no part of the words looked for.
+_FILES_SQL = rf"""
+g AS (SELECT slug, commit_sha, path, min(content) AS c FROM verified_bytes GROUP BY slug, commit_sha, path),
+b AS (SELECT slug, commit_sha, path, sha1(encode('blob ' || octet_length(c)) || '\x00'::BLOB || c) AS blob_sha,
+  array_to_string(list_transform(regexp_extract_all(hex(c), '(?:[0-9A-F]{{2}})'), lambda h: CASE WHEN h < '80' THEN chr(CAST('0x' || h AS INTEGER)) ELSE '?' END), '') AS text FROM g WHERE regexp_matches(path, '\.(py|rs|go|js)$') AND c IS NOT NULL),
+f0 AS (SELECT *, CASE WHEN path LIKE '%.js' THEN array_to_string({_MASKED}, '') ELSE text END AS t FROM b),
+f AS (SELECT *, {_LINES} AS ls FROM f0),
+l AS (SELECT slug, commit_sha, path, blob_sha, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM f)
+""".strip()
+
+
+def _file_search(name: str, spec: SearchSpec, where: str, kind: str) -> None:
+    @query(name, f"WITH {_FILES_SQL} SELECT {COLUMNS}, 1.0::DOUBLE AS score, ['{kind}'] AS matched_kinds FROM l WHERE {where}")
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return search(file_blobs(table(spark, d, "verified_bytes")), spec).matches
+
+
+_file_search("import_predicate", plain(Predicate("import", "rank")), r"contains(line, 'rank') AND ((path LIKE '%.py' AND regexp_matches(line, '^\s*(import |from )')) OR (path LIKE '%.rs' AND regexp_matches(line, '^\s*use ')) OR (path LIKE '%.go' AND (contains(line, 'import') OR contains(line, chr(9) || chr(34)))) OR (path LIKE '%.js' AND regexp_matches(line, '^\s*import($|[^\p{L}\p{N}_])|(^|[^\p{L}\p{N}_])require\s*\(')))", "import")
+_file_search("masked_import", plain(Predicate("import", "Rank", "js")), r"path LIKE '%.js' AND contains(line, 'Rank') AND regexp_matches(line, '^\s*import($|[^\p{L}\p{N}_])|(^|[^\p{L}\p{N}_])require\s*\(')", "import")
+_file_search("masked_call", plain(Predicate("call", "map", "js")), r"path LIKE '%.js' AND regexp_matches(line, '(^|[^\p{L}\p{N}_$])map\s*\(')", "call")
+_file_search("masked_text", plain(Predicate("exact_text", "store.", "javascript")), "path LIKE '%.js' AND contains(line, 'store.')", "exact_text")
+
+
 @query("python_regex_fallback")
 def python_regex_fallback(spark: SparkSession, d: str) -> DataFrame:
     """A pattern that only Python can run: a named group and a reference back to it."""
     return search(document_blobs(table(spark, d, "documents")), plain(Predicate("regex", r"(?P<w>\b\w{6,}\b).*\b(?P=w)\b"))).matches
 
 
-@query("masked_identifier")
+@query("masked_identifier", f"WITH {BLOBS} SELECT {COLUMNS}, 1.0::DOUBLE AS score, ['identifier'] AS matched_kinds FROM l WHERE path LIKE '%.js' AND {word('acc')}")
 def masked_identifier(spark: SparkSession, d: str) -> DataFrame:
     """A search in a language whose comments and strings don't count."""
     return search(document_blobs(table(spark, d, "documents")), plain(Predicate("identifier", "acc", "js"))).matches
@@ -135,10 +163,10 @@ def index_equals_scan(spark: SparkSession, d: str) -> DataFrame:
     return T.indexed_search(blobs, T.index(blobs), plain(_NEEDLE)).matches
 
 
-@query("blob_lines", f"WITH {BLOBS} SELECT slug, commit_sha, path, blob_sha, line, CAST(n AS INTEGER) AS line_no FROM l")
+@query("blob_lines", f"WITH {BLOBS}, w AS (SELECT *, {_LINES.replace('t = ', 'text = ').replace('(t,', '(text,')} AS ws FROM b) SELECT slug, commit_sha, path, blob_sha, unnest(ws) AS line, CAST(generate_subscripts(ws, 1) AS INTEGER) AS line_no FROM w")
 def blob_lines(spark: SparkSession, d: str) -> DataFrame:
     """The lines of the blobs."""
-    return line_rows(document_blobs(table(spark, d, "documents")).where("path RLIKE '[.](py|rs|go)$'"))
+    return line_rows(document_blobs(table(spark, d, "documents")))
 
 
 @query("permalinks", f"WITH {BLOBS} SELECT 'https://host.invalid/' || slug || '/blob/' || commit_sha || '/' || path || '#L' || n AS permalink FROM l WHERE contains(line, 'optional adapter')")
