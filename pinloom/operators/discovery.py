@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,4 +43,4 @@ def verified_candidates(hits: DataFrame, blobs: DataFrame, budget: int) -> DataF
 def global_search(hits: DataFrame, blobs: DataFrame, spec: SearchSpec, budget: int) -> DataFrame:
     """The matches of a query in verified candidates; must_nots drop lines too, as the index saw only parts of a file."""
     good = verified_candidates(hits, blobs, budget).where("state = 'verified'").select(*IDENTITY)
-    return search(blobs.join(good, IDENTITY, "left_semi"), spec).matches
+    return search(blobs.join(good, IDENTITY, "left_semi"), replace(spec, must_not_lines=True)).matches

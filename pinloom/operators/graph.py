@@ -5,18 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pinloom.plans.sizing import checkpointed
+from pinloom.operators.ranking import globally_ranked
+from pinloom.plans.sizing import checkpointed, partitions_for
 
 MAX_DEPTH = 1000
 
 
+def prepared(edges: DataFrame, *more: str) -> DataFrame:
+    """Distinct edges, written once in the partitioning that every round's join needs, so that no round makes them again."""
+    one = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst", *more).distinct()
+    return checkpointed(one.repartition(partitions_for(edges), "src"))
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(node, depth): the nodes reached from the seeds (node) along edges (src, dst), with the least number of steps.
 
     Each round joins the frontier with the edges, drops what is known and writes the rest, so that the lineage stays short and
     a lost executor costs one round. Cycles end, as known nodes don't return. Null nodes are no nodes.
     """
-    edges = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct()
+    edges = prepared(edges)
     found = checkpointed(seeds.where("node IS NOT NULL").select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = found
     for depth in range(1, max_depth + 1):
@@ -35,7 +42,7 @@ def shortest_paths(edges: DataFrame, roots: DataFrame, max_length: int, separato
 
     Paths keep the keys of their nodes; a path longer than ``max_length`` is an error if it were needed. Roots are left out.
     """
-    edges = edges.select(F.col("src").cast("string"), F.col("dst").cast("string")).where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    edges = prepared(edges.select(F.col("src").cast("string"), F.col("dst").cast("string")))
     known = checkpointed(roots.select(F.col("node").cast("string").alias("root")).where("root IS NOT NULL").distinct().select("root", F.col("root").alias("node"), F.lit(0).alias("length"), F.col("root").alias("path")))
     frontier = known
     for length in range(1, max_length + 2):
@@ -78,6 +85,86 @@ def applicable(edges: DataFrame, members: DataFrame) -> DataFrame:
     return edges.join(members.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
 
 
-def blocking_paths(paths: DataFrame, blocking: DataFrame) -> DataFrame:
-    """The paths that end at a blocking target: (root, node, length, path)."""
-    return paths.join(blocking.select("node").distinct(), "node", "left_semi")
+def blocking_paths(edges: DataFrame, roots: DataFrame, blocking: DataFrame, max_length: int) -> DataFrame:
+    """The shortest paths from roots to blocking targets: (root, node, length, path).
+
+    Only edges from which a target can still be reached are walked: these are found backward from the targets, few as they
+    are, so that paths that end elsewhere are never made.
+    """
+    backward = edges.select(F.col("dst").cast("string").alias("src"), F.col("src").cast("string").alias("dst"))
+    useful = reachable(backward, blocking.select(F.col("node").cast("string"))).select("node")
+    inner = edges.select(F.col("src").cast("string"), F.col("dst").cast("string")).join(useful.select(F.col("node").alias("dst")), "dst", "left_semi")
+    paths = shortest_paths(inner, roots, max_length)
+    return paths.join(blocking.select(F.col("node").cast("string")).distinct(), "node", "left_semi")
+
+
+def async_assessment(paths: DataFrame, catalog: DataFrame, external: DataFrame) -> DataFrame:
+    """Per root: incompatible if a path ends at a cataloged blocking target, else unknown if one ends at an external node, else compatible."""
+    ends = paths.join(catalog.select("node", F.lit(True).alias("_b")).distinct(), "node", "left").join(external.select("node", F.lit(True).alias("_e")).distinct(), "node", "left")
+    blocked, unknown = F.coalesce(F.bool_or("_b"), F.lit(False)), F.coalesce(F.bool_or("_e"), F.lit(False))
+    return ends.groupBy("root").agg(F.when(blocked, "incompatible").when(unknown, "unknown").otherwise("compatible").alias("state"))
+
+
+def duplicates(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Keys that occur more than once, with how often: what must be empty where keys must be unique."""
+    return rows.groupBy(*key).agg(F.count("*").alias("copies")).where("copies > 1")
+
+
+def classified_edges(edges: DataFrame, rules: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Each edge with the disposition of its target: the target's own rule, else include for donor nodes, else external for allowed
+    standard nodes, else reject.
+
+    ``edges`` has (src, dst, dst_origin), ``rules`` (node, disposition), ``allowed`` (node). A node of several rules takes the first
+    in text order.
+    """
+    told = rules.groupBy(F.col("node").alias("dst")).agg(F.min("disposition").alias("_d"))
+    pure = allowed.select(F.col("node").alias("dst")).distinct().withColumn("_p", F.lit(True))
+    by = F.when(F.col("_d").isNotNull(), F.col("_d")).when(F.col("dst_origin") == "donor", "include").when((F.col("dst_origin") == "stdlib") & F.col("_p"), "external").otherwise("reject")
+    level = F.when(F.col("_d").isNotNull(), "rule").when(F.col("dst_origin") == "donor", "origin").when((F.col("dst_origin") == "stdlib") & F.col("_p"), "allowlist").otherwise("none")
+    return edges.join(told, "dst", "left").join(pure, "dst", "left").withColumn("disposition", by).withColumn("decided_by", level).drop("_d", "_p")
+
+
+def import_support(runtime: DataFrame, imports: DataFrame) -> DataFrame:
+    """The imports whose binding or site is the binding of a runtime edge: (edge, import), as a union of two equi-joins.
+
+    ``runtime`` has (edge, binding), ``imports`` (import, binding, site). Null bindings support nothing.
+    """
+    keys = imports.select("import", F.col("binding").alias("key")).unionByName(imports.select("import", F.col("site").alias("key"))).where("key IS NOT NULL").distinct()
+    return runtime.select("edge", F.col("binding").alias("key")).where("key IS NOT NULL").join(keys, "key").select("edge", "import").distinct()
+
+
+def seed_nodes(nodes: DataFrame, kinds: list[str], name: str | None = None) -> DataFrame:
+    """Donor nodes that a closure may start at: (node, qualified_name, state); a name that several nodes hold is ambiguous."""
+    fit = nodes.where((F.col("origin") == "donor") & F.col("kind").isin(*kinds))
+    fit = fit.where(F.col("qualified_name") == name) if name is not None else fit
+    counts = fit.groupBy("qualified_name").agg(F.count("*").alias("_n"), F.min("node").alias("node"))
+    return counts.select("qualified_name", F.when(F.col("_n") == 1, F.col("node")).alias("node"), F.when(F.col("_n") == 1, "resolved").otherwise("ambiguous").alias("state"))
+
+
+def budgeted_closure(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, unresolved: DataFrame, max_depth: int, max_nodes: int, max_edges: int) -> tuple[DataFrame, DataFrame]:
+    """The closure from seeds over classified edges, with its budgets: members and one row of counts and status.
+
+    ``edges`` has (src, dst, disposition), as ``classified_edges`` gives it; only included targets are expanded. Members are
+    (node, depth, position): position is the order by depth and node in which the budget of nodes is spent, and nodes beyond it
+    or beyond the depth are the frontier, state ``frontier``. A rejected edge or an unresolved reference at a member rejects the
+    closure, which outweighs a spent budget; a budget spent makes it partial.
+    """
+    runtime = checkpointed(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst", "disposition").distinct().repartition(partitions_for(edges), "src"))
+    reached = reachable(runtime.where("disposition = 'include'"), seeds)
+    known = reached.join(nodes.select("node").distinct(), "node", "left_semi")
+    placed = globally_ranked(known, [F.col("depth").asc(), F.col("node").asc()], "position")
+    state = F.when((F.col("depth") > max_depth) | (F.col("position") > max_nodes), "frontier").otherwise("member")
+    members = checkpointed(placed.select("node", "depth", F.col("position").cast("long").alias("position"), state.alias("state")))
+    inside = members.where("state = 'member'").select(F.col("node").alias("src"))
+    seen = runtime.join(inside, "src", "left_semi")
+    counts = seen.agg(F.count("*").alias("edges"), F.count_if(F.col("disposition") == "reject").alias("rejected"), F.count_distinct(F.when(F.col("disposition") == "external", F.col("dst"))).alias("external"))
+    open_ = unresolved.select(F.col("node").alias("src")).join(inside, "src", "left_semi").agg(F.count("*").alias("unresolved"))
+    sizes = members.agg(F.count_if(F.col("state") == "member").alias("members"), F.count_if(F.col("state") == "frontier").alias("frontier"), F.coalesce(F.max(F.when(F.col("state") == "member", F.col("depth"))), F.lit(0)).alias("depth"))
+    status = F.when((F.col("rejected") > 0) | (F.col("unresolved") > 0), "reject").when((F.col("frontier") > 0) | (F.col("edges") > max_edges), "partial").otherwise("complete")
+    # three rows of one line each
+    return members, sizes.join(F.broadcast(counts)).join(F.broadcast(open_)).withColumn("status", status)
+
+
+def nodes_of_symbols(symbols: DataFrame) -> DataFrame:
+    """A node table from a symbol table: one donor node for each (kind, module, qualified_name)."""
+    return symbols.where("qualified_name IS NOT NULL").select(F.lit("donor").alias("origin"), "kind", F.coalesce("module", F.lit("")).alias("module"), "qualified_name").distinct()

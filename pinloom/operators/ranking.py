@@ -48,7 +48,10 @@ def globally_ranked(df: DataFrame, order: Sequence[Column], name: str = "rank")
 
 
 def ranked_matches(matches: DataFrame) -> DataFrame:
-    """Matches in their total order: rank from 1, rank_score = matches - rank + 1. Identities must be unique."""
+    """Matches in their total order: rank from 1, rank_score = matches - rank + 1. Identities must be unique.
+
+    The matches are written once: their bounds, their number and the sample for the ranges are read from there."""
+    matches = checkpointed(matches)
     order = [F.col("score").desc(), *[F.col(c).asc() for c in IDENTITY]]
     out = globally_ranked(normalized(matches), order)
     total = matches.agg(F.count("*").alias("n")).select("n").scalar()
@@ -139,6 +142,16 @@ def u_test(n1: int, n2: int, doubled_rank_sum: int, ties: int) -> tuple[float, f
     return doubled / 2, z, min(1.0, math.erfc(z / math.sqrt(2)))
 
 
+def regression_decision(samples: DataFrame, by: str, group: str, first: str, second: str, value: str, tolerance: float = 1.10, level: float = 0.002, least: int = 6) -> DataFrame:
+    """Per ``by``: medians of both groups and the decision. Too few samples are unknown; a median of the second within the tolerance
+    passes; beyond it the U test decides: fail below the level, else pass."""
+    median = lambda g: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value}) FILTER (WHERE {group} = '{g}')")
+    sides = samples.groupBy(by).agg(F.count_if(F.col(group) == first).alias("_a"), F.count_if(F.col(group) == second).alias("_b"), median(first).alias("baseline"), median(second).alias("candidate"))
+    tested = mann_whitney(samples, [by], group, first, second, value).select(by, "p_value")
+    decision = F.when((F.col("_a") < least) | (F.col("_b") < least), "unknown").when(F.col("candidate") <= tolerance * F.col("baseline"), "pass").when(F.col("p_value") < level, "fail").otherwise("pass")
+    return sides.join(tested, by, "left").select(by, "baseline", "candidate", "p_value", decision.alias("decision"))
+
+
 def nearest_rank(value: str, fraction: float) -> Column:
     """The nearest-rank percentile: the smallest value at or above the fraction."""
     return F.expr(f"percentile_disc({fraction}) WITHIN GROUP (ORDER BY {value})")

@@ -187,16 +187,20 @@ def namespace_conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("trust_score", """WITH p AS (SELECT slug, max(struct_pack(a := delivered_at, b := parity, c := checksum, d := artifact_kind, e := files_compared)) AS r, min(delivered_at) AS first_at FROM parity_results WHERE snapshot_no = 6 GROUP BY slug)
-SELECT slug, CAST(greatest(0, least(100, floor((50 + (CASE WHEN r.e > 100 THEN 100 WHEN r.e > 10 THEN 70 ELSE 50 END) * 20 + (CASE r.b WHEN 'exact' THEN 100 WHEN 'drift' THEN 0 ELSE 50 END) * 15 + 50 * 15 + (CASE WHEN r.c IS NULL THEN 0 ELSE 60 END) * 10 + 50 * 10 + (CASE WHEN r.c IS NOT NULL AND r.d IS NOT NULL THEN 100 ELSE 0 END) * 15
-+ (CASE WHEN first_at IS NULL OR r.a IS NULL OR first_at > r.a THEN 50 ELSE 100 END) * 15) / 100))) AS INTEGER) AS trust FROM p""")
+SELECT p.slug, CAST(greatest(0, least(100, floor((50 + (CASE WHEN r.e > 100 THEN 100 WHEN r.e > 10 THEN 70 ELSE 50 END) * 20 + (CASE r.b WHEN 'exact' THEN 100 WHEN 'drift' THEN 0 ELSE 50 END) * 15 + (CASE q.c WHEN 3 THEN 100 WHEN 2 THEN 65 WHEN 1 THEN 25 ELSE 50 END) * 15 + (CASE WHEN r.c IS NULL THEN 0 ELSE 60 END) * 10 + (CASE WHEN f.t THEN 100 WHEN NOT f.t THEN 0 ELSE 50 END) * 10 + (CASE WHEN r.c IS NOT NULL AND r.d IS NOT NULL THEN 100 ELSE 0 END) * 15
++ (CASE WHEN first_at IS NULL OR r.a IS NULL OR first_at > r.a THEN 50 ELSE 100 END) * 15) / 100))) AS INTEGER) AS trust FROM p LEFT JOIN (SELECT slug, max(CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 END) AS c FROM license_resolution GROUP BY slug) q ON q.slug = p.slug
+LEFT JOIN (SELECT slug, bool_or(starts_with(path, 'tests/')) AS t FROM verified_bytes WHERE path IS NOT NULL GROUP BY slug) f ON f.slug = p.slug""")
 def trust_score(spark: SparkSession, d: str) -> DataFrame:
     """The trust of each repository from its last parity row."""
     r = F.struct(F.col("delivered_at").alias("a"), F.col("parity").alias("b"), F.col("checksum").alias("c"), F.col("artifact_kind").alias("d"), F.col("files_compared").alias("e"))
     p = table(spark, d, "parity_results").where("snapshot_no = 6").groupBy("slug").agg(F.max(r).alias("r"), F.min("delivered_at").alias("first_at"))
-    none = F.lit(None)
+    licences = table(spark, d, "license_resolution").groupBy("slug").agg(F.max(F.when(F.col("confidence") == "high", 3).when(F.col("confidence") == "medium", 2).when(F.col("confidence") == "low", 1)).alias("_c"))
+    tests = table(spark, d, "verified_bytes").where("path IS NOT NULL").groupBy("slug").agg(F.bool_or(F.col("path").startswith("tests/")).alias("_t"))
+    p = p.join(licences, "slug", "left").join(tests, "slug", "left")
+    confidence = F.when(F.col("_c") == 3, "high").when(F.col("_c") == 2, "medium").when(F.col("_c") == 1, "low")
     verification = F.when(F.col("r.e") > 100, "true").when(F.col("r.e") > 10, "sampled")
     docs = F.when(F.col("r.c").isNull(), 0).otherwise(1)
-    return p.select("slug", C.trust_score(verification, F.col("r.b"), none.cast("string"), docs, none.cast("boolean"), F.col("r.c").isNotNull() & F.col("r.d").isNotNull(), F.col("first_at"), F.col("r.a")).alias("trust"))
+    return p.select("slug", C.trust_score(verification, F.col("r.b"), confidence, docs, F.col("_t"), F.col("r.c").isNotNull() & F.col("r.d").isNotNull(), F.col("first_at"), F.col("r.a")).alias("trust"))
 
 
 _CHECKS = "c AS (SELECT o_custkey % 50 AS g, CASE o_orderstatus WHEN 'F' THEN 'fail' WHEN 'O' THEN 'pass' WHEN 'P' THEN 'unknown' ELSE 'not_applicable' END AS status, CAST(floor(o_totalprice) AS BIGINT) % 10001 AS score_bps, 1 + o_orderkey % 9 AS weight, o_orderpriority LIKE '1%' AS required FROM orders)"
@@ -259,11 +263,22 @@ def phase_statistics(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("mann_whitney")
+#: The U test by exact counts; two-sided p below a level means z above a quantile.
+_U = """e AS (SELECT event_type, value, user_id % 2 = 0 AS a FROM events WHERE value IS NOT NULL), c AS (SELECT event_type, value, count(*) AS n, count(*) FILTER (a) AS x, count(*) FILTER (NOT a) AS y FROM e GROUP BY ALL),
+k AS (SELECT *, 2 * coalesce(sum(n) OVER (PARTITION BY event_type ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n + 1 AS r FROM c),
+g AS (SELECT event_type, CAST(sum(x) AS BIGINT) AS n_first, CAST(sum(y) AS BIGINT) AS n_second, CAST(sum(r * x) AS DOUBLE) AS rs, CAST(sum(CAST(n AS HUGEINT) * n * n - n) AS DOUBLE) AS ties FROM k GROUP BY event_type),
+h AS (SELECT *, least(rs - n_first * (n_first + 1), 2.0 * n_first * n_second - (rs - n_first * (n_first + 1))) / 2 AS u, n_first * n_second / 12.0 * (n_first + n_second + 1 - ties / ((n_first + n_second) * (n_first + n_second - 1.0))) AS v FROM g),
+t AS (SELECT event_type, n_first, n_second, u, CASE WHEN v = 0 THEN 0 ELSE greatest(0, abs(u - n_first * n_second / 2.0) - 0.5) / sqrt(v) END AS z FROM h)"""
+#: The quantile of z for a two-sided level of 0.002.
+_Z = 3.090232306167813
+
+
+@query("mann_whitney", f"WITH {_U} SELECT event_type, n_first, n_second, u, round(z, 7) AS z, z > {_Z} AS significant FROM t")
 def mann_whitney(spark: SparkSession, d: str) -> DataFrame:
     """Whether two halves of the users differ in value, by event type."""
     e = table(spark, d, "events").withColumn("half", F.when(F.col("user_id") % 2 == 0, "a").otherwise("b"))
-    return R.mann_whitney(e, ["event_type"], "half", "a", "b", "value")
+    out = R.mann_whitney(e, ["event_type"], "half", "a", "b", "value")
+    return out.select("event_type", "n_first", "n_second", "u", F.round("z", 7).alias("z"), (F.col("p_value") < 0.002).alias("significant"))
 
 
 @query("tie_ranks", "WITH c AS (SELECT l_returnflag, l_quantity, count(*) AS n FROM lineitem GROUP BY ALL) SELECT l_returnflag, l_quantity, CAST(2 * coalesce(sum(n) OVER (PARTITION BY l_returnflag ORDER BY l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n + 1 AS BIGINT) AS doubled_rank FROM c")
@@ -272,16 +287,12 @@ def tie_ranks(spark: SparkSession, d: str) -> DataFrame:
     return R.tie_ranks(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity").select("l_returnflag", "l_quantity", "doubled_rank")
 
 
-@query("regression_gate", """WITH s AS (SELECT event_type, count(*) FILTER (user_id % 2 = 0) AS n1, count(*) FILTER (user_id % 2 = 1) AS n2, quantile_disc(value, 0.5) FILTER (user_id % 2 = 0) AS m1, quantile_disc(value, 0.5) FILTER (user_id % 2 = 1) AS m2 FROM events GROUP BY event_type)
-SELECT event_type, m1 AS baseline, m2 AS candidate, CASE WHEN n1 < 6 OR n2 < 6 THEN 'unknown' WHEN m2 <= 1.10 * m1 THEN 'pass' ELSE 'test' END AS decision FROM s""")
+@query("regression_gate", f"""WITH {_U}, s AS (SELECT event_type, count(*) FILTER (user_id % 2 = 0) AS n1, count(*) FILTER (user_id % 2 = 1) AS n2, quantile_disc(value, 0.5) FILTER (user_id % 2 = 0) AS m1, quantile_disc(value, 0.5) FILTER (user_id % 2 = 1) AS m2 FROM events GROUP BY event_type)
+SELECT event_type, m1 AS baseline, m2 AS candidate, CASE WHEN n1 < 6 OR n2 < 6 THEN 'unknown' WHEN m2 <= 1.001 * m1 THEN 'pass' WHEN z > {_Z} THEN 'fail' ELSE 'pass' END AS decision FROM s JOIN t USING (event_type)""")
 def regression_gate(spark: SparkSession, d: str) -> DataFrame:
-    """Medians of baseline and candidate: pass, unknown, or to be tested for significance."""
-    s = table(spark, d, "events").groupBy("event_type").agg(
-        F.count_if(F.col("user_id") % 2 == 0).alias("n1"), F.count_if(F.col("user_id") % 2 == 1).alias("n2"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value) FILTER (WHERE user_id % 2 = 0)").alias("baseline"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value) FILTER (WHERE user_id % 2 = 1)").alias("candidate"),
-    )
-    decision = F.when((F.col("n1") < 6) | (F.col("n2") < 6), "unknown").when(F.col("candidate") <= 1.10 * F.col("baseline"), "pass").otherwise("test")
-    return s.select("event_type", "baseline", "candidate", decision.alias("decision"))
+    """Whether the candidate half of the users is slower: with a tolerance of a thousandth, so that the test decides for some."""
+    e = table(spark, d, "events").withColumn("half", F.when(F.col("user_id") % 2 == 0, "a").otherwise("b"))
+    return R.regression_decision(e, "event_type", "half", "a", "b", "value", 1.001).select("event_type", "baseline", "candidate", "decision")
 
 
 _BEST = "p AS (SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN NULL ELSE p_size END AS a, CAST(p_retailprice * 100 AS BIGINT) AS b, CASE WHEN p_partkey % 1000 = 0 THEN NULL ELSE p_partkey % 7 END AS c FROM part)"

@@ -81,4 +81,4 @@ def applicable_edges(spark: SparkSession, d: str) -> DataFrame:
 def blocking_paths(spark: SparkSession, d: str) -> DataFrame:
     """The paths from suppliers that end in one of two regions."""
     roots = table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
-    return G.blocking_paths(G.shortest_paths(edges(spark, d), roots, 8), spark.createDataFrame([("r0",), ("r3",)], "node string")).select("root", "node", "length", "path")
+    return G.blocking_paths(edges(spark, d), roots, spark.createDataFrame([("r0",), ("r3",)], "node string"), 8).select("root", "node", "length", "path")

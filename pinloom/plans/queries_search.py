@@ -132,9 +132,7 @@ def match_dedup(spark: SparkSession, d: str) -> DataFrame:
 @query("must_not_line", f"WITH {BLOBS} SELECT {COLUMNS}, 1.0::DOUBLE AS score, ['exact_text'] AS matched_kinds FROM l WHERE contains(line, 'adapter') AND NOT contains(line, 'cache')")
 def must_not_line(spark: SparkSession, d: str) -> DataFrame:
     """Matches without the lines that another predicate hits: the line-level exclusion of a verified hit."""
-    blobs = document_blobs(table(spark, d, "documents"))
-    identity = ["slug", "commit_sha", "path", "blob_sha", "start_line"]
-    return search(blobs, plain(_ADAPTER)).matches.join(search(blobs, plain(_CACHE)).matches.select(*identity), identity, "left_anti").select(*R.IDENTITY, "score", "matched_kinds")
+    return search(document_blobs(table(spark, d, "documents")), plain(_ADAPTER, must_not=(_CACHE,), must_not_lines=True)).matches
 
 
 _GRAMS = f"WITH {BLOBS}, g AS (SELECT DISTINCT path, lower(hex(encode(text)[i:i + 2])) AS gram FROM b, range(1, 200000) AS t(i) WHERE i <= size - 2)"

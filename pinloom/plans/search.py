@@ -111,7 +111,8 @@ def _branch(blobs: DataFrame, spec: SearchSpec, languages: tuple[str, ...], mask
         return F.exists("_hits", lambda x: x["h"][k])
 
     first_should, first_not = len(must), len(must) + len(should)
-    for k in range(first_not, len(every)):
+    nots = range(first_not, len(every))
+    for k in nots if not spec.must_not_lines or spec.whole_file_must else ():
         out = out.where(~in_file(k))
     musts, shoulds = range(len(must)), range(first_should, first_not)
     whole = spec.whole_file_must and bool(must)
@@ -132,6 +133,8 @@ def _branch(blobs: DataFrame, spec: SearchSpec, languages: tuple[str, ...], mask
         chosen = F.filter("_hits", lambda x: every_of(x["h"], shoulds))
     else:
         chosen = F.filter("_hits", lambda x: F.lit(False))
+    if spec.must_not_lines and len(nots):
+        chosen = F.filter(chosen, lambda x: ~P.any_of([x["h"][k] for k in nots]))
     out = out.select(*KEY, *[in_file(k).alias(f"_f{k}") for k in shoulds], F.explode(chosen).alias("_x"))
     h = F.col("_x.h")
     if spec.whole_file_must:

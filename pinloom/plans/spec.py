@@ -75,6 +75,8 @@ class SearchSpec:
     scopes: tuple[Scope, ...] | None = None
     whole_file_must: bool = False
     mode: str = SCOPED
+    #: Whether a must_not drops the lines it hits rather than the whole file; no part of the query's identity.
+    must_not_lines: bool = field(default=False, compare=False)
     languages: tuple[str, ...] = field(default=(), compare=False)
 
     def __post_init__(self) -> None:
