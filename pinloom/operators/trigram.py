@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pinloom.operators.predicates import MASKED, _c, _p, language_of
 from pinloom.plans.search import Report, coverage, search, searched
-from pinloom.plans.sizing import small_enough
+from pinloom.plans.sizing import partitions_for, small_enough
 from pinloom.plans.spec import Predicate, SearchSpec
 from pinloom.sources.blobs import KEY
 
@@ -52,6 +53,69 @@ def postings(blobs: DataFrame) -> DataFrame:
     return index(blobs).groupBy("gram").agg(F.count("*").alias("blobs"))
 
 
+@dataclass(frozen=True)
+class StoredIndex:
+    """A written index: documents (doc, key, size), postings (bucket, code, doc) and what its manifest says."""
+
+    folder: str
+    documents: DataFrame
+    postings: DataFrame
+    manifest: dict
+
+
+#: Folders that the postings are spread over by their code, so that a query reads only those of its grams.
+BUCKETS = 64
+
+
+def _set_digest(docs: DataFrame) -> DataFrame:
+    """Count and digest of a set of documents, whatever their order: the sum of two hashes of each key."""
+    hashed = docs.select(*[F.sum(F.xxhash64(F.lit(seed), *KEY, "size").cast("decimal(38,0)")).alias(f"h{seed}") for seed in (1, 2)], F.count("*").alias("documents"))
+    return hashed
+
+
+def _code_rows(blobs: DataFrame) -> DataFrame:
+    source = blobs.select(*KEY, F.col("content").cast("binary").alias("content"))
+    return source.mapInArrow(_codes, ", ".join(f"{c} string" for c in KEY) + ", _grams array<int>")
+
+
+def write_index(blobs: DataFrame, folder: str) -> dict:
+    """Writes the index of blobs (distinct keys) below a folder and returns its manifest. Documents get numbers; postings hold these.
+
+    The manifest is written last: a folder without one is no index. An existing index is replaced.
+    """
+    spark = blobs.sparkSession
+    docs = blobs.where("content IS NOT NULL").select(*KEY, "size").distinct().withColumn("doc", F.monotonically_increasing_id())
+    docs.write.mode("overwrite").parquet(f"{folder}/documents")
+    stored = spark.read.parquet(f"{folder}/documents")
+    coded = _code_rows(blobs.where("content IS NOT NULL")).join(stored.select(*KEY, "doc"), KEY)
+    rows = coded.select("doc", F.explode("_grams").alias("code")).distinct().withColumn("bucket", F.col("code") % BUCKETS)
+    rows.repartition(partitions_for(blobs, per_byte=4.0), "bucket").sortWithinPartitions("bucket", "code").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    count = spark.read.parquet(f"{folder}/postings").count()
+    manifest = _set_digest(stored).withColumn("postings", F.lit(count)).withColumn("version", F.lit("trigrams-1"))
+    manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
+    return open_index(spark, folder).manifest
+
+
+def open_index(spark: SparkSession, folder: str, blobs: DataFrame | None = None) -> StoredIndex:
+    """Opens a written index. It is refused if its documents are not those its manifest was made of, or, with ``blobs``, not those."""
+    docs, postings = spark.read.parquet(f"{folder}/documents"), spark.read.parquet(f"{folder}/postings")
+    [row] = spark.read.parquet(f"{folder}/manifest").collect()
+    for other in [docs] + ([blobs.where("content IS NOT NULL").select(*KEY, "size").distinct()] if blobs is not None else []):
+        [now] = _set_digest(other).collect()
+        if (now.h1, now.h2, now.documents) != (row.h1, row.h2, row.documents):
+            raise ValueError("the index was made of other documents")
+    return StoredIndex(folder, docs, postings, row.asDict())
+
+
+def stored_candidates(index: StoredIndex, spec: SearchSpec) -> DataFrame | None:
+    """As ``candidates``, from a written index: only the buckets of the wanted grams are read."""
+    wanted = sorted({int(g, 16) for p in spec.content_must for g in needed_grams(p)})
+    if not wanted:
+        return None
+    hits = index.postings.where(F.col("bucket").isin(sorted({c % BUCKETS for c in wanted})) & F.col("code").isin(wanted))
+    return hits.groupBy("doc").agg(F.count("*").alias("_n")).where(F.col("_n") == len(wanted)).join(index.documents, "doc").select(*KEY)
+
+
 def literal_runs(pattern: str) -> list[str]:
     """The texts of at least three bytes that every match of a pattern holds; none where that can't be told."""
     try:
@@ -105,17 +169,18 @@ def candidates(grams: DataFrame, spec: SearchSpec) -> DataFrame | None:
     return grams.where(F.col("gram").isin(*wanted)).groupBy(*KEY).agg(F.count_distinct("gram").alias("_n")).where(F.col("_n") == len(wanted)).drop("_n")
 
 
-def indexed_search(blobs: DataFrame, grams: DataFrame, spec: SearchSpec) -> Report:
+def indexed_search(blobs: DataFrame, grams: DataFrame | StoredIndex, spec: SearchSpec) -> Report:
     """The same result as ``search``, reading only candidates where the index can tell them.
 
     Languages whose text is masked before matching are scanned in full, since a blank in masked text need not be one in the
     bytes. Coverage counts all searchable blobs: those that are no candidates are proven not to match.
     """
-    chosen = candidates(grams, spec)
+    chosen = stored_candidates(grams, spec) if isinstance(grams, StoredIndex) else candidates(grams, spec)
     if chosen is None:
         return search(blobs, spec)
     chosen = F.broadcast(chosen) if small_enough(chosen) else chosen
     masked = F.coalesce(language_of(F.col("path")).isin(*MASKED), F.lit(False))
-    few = blobs.where(~masked).join(chosen, KEY, "left_semi")
+    # a path holds one blob, so the others' SHAs need not be made
+    few = blobs.where(~masked).join(chosen.select(*KEY[:3]), KEY[:3], "left_semi")
     found = search(few.unionByName(blobs.where(masked)), spec)
     return Report(found.matches, coverage(searched(blobs, spec)), spec.digest())

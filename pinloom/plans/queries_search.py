@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from pinloom.operators import ranking as R
 from pinloom.operators import trigram as T
 from pinloom.plans.registry import query
 from pinloom.plans.search import search
+from pinloom.plans.sizing import shared_folder
 from pinloom.plans.spec import Predicate, SearchSpec, translation
 from pinloom.sources.blobs import document_blobs, file_blobs, line_rows
 from pinloom.sources.tables import table
@@ -157,8 +160,27 @@ def trigram_candidates(spark: SparkSession, d: str) -> DataFrame:
 @query("index_equals_scan", f"WITH {BLOBS} SELECT {COLUMNS}, 1.0::DOUBLE AS score, ['exact_text'] AS matched_kinds FROM l WHERE contains(line, 'optional adapter')")
 def index_equals_scan(spark: SparkSession, d: str) -> DataFrame:
     """A search through the index, which must give what the scan gives."""
-    blobs = document_blobs(table(spark, d, "documents"))
-    return T.indexed_search(blobs, T.index(blobs), plain(_NEEDLE)).matches
+    return T.indexed_search(document_blobs(table(spark, d, "documents")), stored_index(spark, d), plain(_NEEDLE)).matches
+
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark: SparkSession, d: str) -> T.StoredIndex:
+    """The written index of the documents; written once in a session, opened and checked every time."""
+    blobs, place = document_blobs(table(spark, d, "documents")), (spark.sparkContext.applicationId, d)
+    if place not in _STORED:
+        folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        T.write_index(blobs, folder)
+        _STORED[place] = folder
+    return T.open_index(spark, _STORED[place])
+
+
+@query("index_manifest", f"WITH {BLOBS}, u AS (SELECT DISTINCT slug, commit_sha, path, blob_sha, size, text FROM b), g AS (SELECT DISTINCT slug, path, encode(text)[i:i + 2] AS gram FROM u, range(1, 200000) AS t(i) WHERE i <= size - 2) SELECT (SELECT count(*) FROM u) AS documents, (SELECT count(*) FROM g) AS postings, 'trigrams-1' AS version")
+def index_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """What the written index holds, after it was opened and checked against the documents."""
+    index = T.open_index(spark, stored_index(spark, d).folder, document_blobs(table(spark, d, "documents")))
+    return index.documents.agg(F.count("*").alias("documents")).join(F.broadcast(index.postings.agg(F.count("*").alias("postings")))).withColumn("version", F.lit(index.manifest["version"]))
 
 
 @query("blob_lines", f"WITH {BLOBS}, w AS (SELECT *, {_LINES.replace('t = ', 'text = ').replace('(t,', '(text,')} AS ws FROM b) SELECT slug, commit_sha, path, blob_sha, unnest(ws) AS line, CAST(generate_subscripts(ws, 1) AS INTEGER) AS line_no FROM w")
