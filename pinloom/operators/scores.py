@@ -118,3 +118,24 @@ def license_decision(resolved: DataFrame, by: Sequence[str], order: str, express
     verdict = F.when(F.coalesce(e.isin(*prohibited), F.lit(False)), "incompatible").when(F.col(state) != "resolved", "unknown").when(~F.coalesce(e.isin(*reviewed), F.lit(False)), "unknown").when(~e.isin(*allowed), "incompatible").otherwise("pass")
     rank = F.when(F.coalesce(e.isin(*prohibited), F.lit(False)), 0).when(verdict != "pass", 1).otherwise(2)
     return resolved.groupBy(*by).agg(F.min_by(verdict, F.struct(rank.alias("r"), F.col(order).alias("o"))).alias("decision"))
+
+
+#: The tiers of licence evidence, the first that says anything wins.
+TIERS = ("file_header", "adjacent_license", "reuse_toml", "dep5")
+
+
+def tiered_licenses(evidence: DataFrame, by: Sequence[str], tier: str, expression: str) -> DataFrame:
+    """(by, expression, state) by tiers: an unknown tier or a null expression anywhere is an error, which comes before all; else the
+    first tier decides, resolved with one expression, conflict with several; lower tiers are shadowed."""
+    rank = F.lit(None).cast("int")
+    for i, name in reversed(list(enumerate(TIERS, 1))):
+        rank = F.when(F.col(tier) == name, i).otherwise(rank)
+    per = evidence.select(*by, F.col(expression).alias("_x"), rank.alias("_r")).groupBy(*by, "_r").agg(F.bool_or(F.col("_x").isNull()).alias("_bad"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    whole = per.groupBy(*by).agg(F.bool_or(F.col("_bad") | F.col("_r").isNull()).alias("_bad"), F.min_by(F.struct("_lo", "_hi"), "_r").alias("_t"))
+    state = F.when(F.col("_bad"), "error").when(F.col("_t._lo") != F.col("_t._hi"), "conflict").otherwise("resolved")
+    return whole.select(*by, F.when(state == "resolved", F.col("_t._lo")).alias("expression"), state.alias("state"))
+
+
+def agreed(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """(by, agreed, files): the value if all rows of a group have the same, else null."""
+    return rows.groupBy(*by).agg(F.when(F.min(value) == F.max(value), F.min(value)).alias("agreed"), F.count("*").alias("files"))

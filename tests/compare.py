@@ -40,14 +40,24 @@ def main(folder, names):
     queries, sql, bad = E.queries(), E.oracle_sql(), []
     for name in names or queries:
         start = time.time()
-        df = queries[name](spark, folder)
-        got = canonical(df.collect(), df.columns)
+        try:
+            df = queries[name](spark, folder)
+            got = canonical(df.collect(), df.columns)
+        except Exception as e:
+            print(f"{name}: FAILED {str(e)[:300]}", flush=True)
+            bad.append(name)
+            continue
         took = time.time() - start
         if name not in sql:
             print(f"{name}: {len(got)} rows in {took:.1f} s, no SQL", flush=True)
             continue
         start = time.time()
-        result = base.execute(sql[name])
+        try:
+            result = base.execute(sql[name])
+        except duckdb.Error as e:
+            print(f"{name}: SQL FAILED {str(e)[:300]}", flush=True)
+            bad.append(name)
+            continue
         columns = [c[0] for c in result.description]
         want = canonical(result.fetchall(), columns)
         same = sorted(columns) == sorted(df.columns) and got == want
