@@ -68,11 +68,18 @@ def opened(df: DataFrame, keys: Sequence[str], payload: str, root: str) -> DataF
     Spark's parser ignores what follows the first value. So the text is parsed inside brackets and inside braces, which
     together accept only one value and nothing after it.
     """
-    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # valid JSON; the last one counts
     texts = df.select(*[F.col(f"`{k}`") for k in keys], unwrapped(F.col(f"`{payload}`")).alias("_text")).distinct()
     listed, boxed = _listed(F.col("_text")), _boxed_keys(F.col("_text"))
-    # an element or a key that the text itself adds shows in the sizes
-    return texts.withColumn("_listed", listed).where((F.size("_listed") == 1) & (F.size(boxed) == 1)).withColumn(root, F.col("_listed")[0]).drop("_text", "_listed")
+    # a key given twice is valid JSON, the last one counts; the parser takes that setting when the plan is analysed, so the
+    # session keeps its own afterwards
+    conf, setting = df.sparkSession.conf, "spark.sql.variant.allowDuplicateKeys"
+    before = conf.get(setting, "false")
+    conf.set(setting, "true")
+    try:
+        # an element or a key that the text itself adds shows in the sizes
+        return texts.withColumn("_listed", listed).where((F.size("_listed") == 1) & (F.size(boxed) == 1)).withColumn(root, F.col("_listed")[0]).drop("_text", "_listed")
+    finally:
+        conf.set(setting, before)
 
 
 def elements(value: Column, path: str) -> Column:

@@ -86,7 +86,8 @@ def snapshot_changes(
     being earliest; rows delivered at the same time are settled by the greatest row hash. Rows without a snapshot number
     belong to none and are left out. Other columns are ignored, an empty table gives an empty result.
     """
-    names = [*keys, *values]
+    # values travel only where they are asked for; changes themselves are told by hashes
+    names = [*keys, *values] if with_values else list(keys)
     base = df.where(F.col(f"`{snapshot}`").between(first, last)).select(
         F.col(f"`{snapshot}`").cast("long").alias("_s"),
         null_safe_hash(keys, 1).alias("_k1"),

