@@ -145,7 +145,7 @@ def pack_texts(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer
     rest; every other text is one piece. Null and empty texts have 0 tokens and are assigned too. Repeated rows are repeated
     items. Other columns are ignored. An empty table gives an empty result.
     """
-    shards = int(input_bytes(df) / SHARD_BYTES) + 1
+    shards = int(stored_bytes(df, text) / SHARD_BYTES) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
@@ -173,6 +173,11 @@ def pack_texts(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer
     return counted.repartition(shards, "_shard").mapInArrow(run, PACKED_DDL).withColumnRenamed("_id", key)
 
 
+def stored_bytes(df: DataFrame, text: str) -> int:
+    """The bytes of the tables that ``df`` reads; where Spark can't tell them, those of the texts."""
+    return input_bytes(df) or int(df.agg(F.coalesce(F.sum(F.octet_length(f"`{text}`")), F.lit(0)).alias("n")).collect()[0]["n"])
+
+
 def containers(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The containers with their items and fill."""
     return packed.groupBy("container_id").agg(

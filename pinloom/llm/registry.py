@@ -48,10 +48,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(table(spark, d, "verified_bytes")).select("file_id", "start_line", "end_line")
 
 
-@query("p1_shares")
+_LINES_SQL = "z AS (SELECT file_id, CAST(len(ls) AS INTEGER) AS lines FROM q), y AS (SELECT file_id, island, count(*) AS k FROM g GROUP BY ALL), o AS (SELECT file_id, CAST(sum(k) AS INTEGER) AS shared_lines, CAST(count(*) AS INTEGER) AS blocks FROM y GROUP BY file_id)"
+
+
+@query("p1_shares", _SHARED_SQL[: _SHARED_SQL.rindex("SELECT file_id")].rstrip() + f", {_LINES_SQL} SELECT file_id, lines, coalesce(shared_lines, 0) AS shared_lines, coalesce(blocks, 0) AS blocks, round(CASE WHEN lines > 0 THEN coalesce(shared_lines, 0) / lines ELSE 0.0 END, 6) AS shared_part FROM z LEFT JOIN o USING (file_id)")
 def p1_shares(spark: SparkSession, d: str) -> DataFrame:
     """How much of each file is shared: its lines, the shared ones, and their part."""
-    files = table(spark, d, "verified_bytes").select("file_id", "content").distinct()
+    files = table(spark, d, "verified_bytes").where("content IS NOT NULL").select("file_id", "content").distinct()
     text = F.expr("decode(content, 'ISO-8859-1')")
     breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
     sizes = files.select("file_id", (breaks + F.when((F.length(text) > 0) & ~text.endswith("\n"), 1).otherwise(0)).cast("int").alias("lines"))
@@ -74,6 +77,21 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(packing.pack_texts(table(spark, d, "documents")))
 
 
+@query("p8_invariants", "SELECT doc_id, coalesce(octet_length(encode(text)), 0) AS tokens, CAST(greatest(1, ceil(coalesce(octet_length(encode(text)), 0) / 8192)) AS BIGINT) AS pieces, true AS whole FROM documents")
+def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Of every text, by the byte tokenizer: its tokens, all of them assigned once, and that only texts above the capacity are split."""
+    p = packing.pack_texts(table(spark, d, "documents"), tokenizer="byt5")
+    return p.groupBy("doc_id").agg(F.sum("n_tokens").cast("long").alias("tokens"), F.count("*").alias("pieces"), (F.sum("n_tokens") == F.max(F.col("start_token") + F.col("n_tokens"))).alias("whole"))
+
+
+@query("p8_fill", "SELECT true AS within_capacity, true AS little_unused")
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Whether no container is over its capacity, and all together are filled to 98 percent or lack less than one container for each shard."""
+    c = packing.containers(packing.pack_texts(table(spark, d, "documents")))
+    shards = F.count_distinct(F.shiftright("container_id", packing.SHARD_SHIFT))
+    return c.agg(F.max("filled").alias("m"), F.sum("filled").alias("f"), F.count("*").alias("n"), shards.alias("s")).select((F.col("m") <= packing.CAPACITY).alias("within_capacity"), ((F.col("f") >= 0.98 * packing.CAPACITY * F.col("n")) | (F.col("n") - F.ceil(F.col("f") / packing.CAPACITY) <= 2 * F.col("s"))).alias("little_unused"))
+
+
 _LEAK_SQL = r"""
 WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: lower(w)) AS ws FROM documents),
 i AS (SELECT item_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: lower(w)) AS ws FROM eval_items),
@@ -104,6 +122,14 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.where("piece_no = 0 AND n_pieces > 1").select("doc_id").distinct()
 
 
+@query("p10_invariants", "SELECT DISTINCT doc_id, octet_length(encode(text)) AS tokens, true AS within_limit, true AS joined FROM documents WHERE octet_length(encode(text)) > 8192")
+def p10_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Of every split document: its tokens as the pieces cover them, whether all pieces keep the limit, and whether each overlaps the one before as set."""
+    p = splitting.split_texts(table(spark, d, "documents"), with_text=False)
+    joined = F.when(F.col("piece_no") == 0, F.col("start_token") == 0).otherwise(F.col("overlap").between(splitting.OVERLAP, splitting.OVERLAP + 3))
+    return p.groupBy("doc_id").agg(F.max("end_token").alias("tokens"), F.bool_and(F.col("end_token") - F.col("start_token") <= splitting.LIMIT).alias("within_limit"), F.bool_and(joined).alias("joined"))
+
+
 @query("p10_pieces")
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     """The pieces of the documents above the limit."""
