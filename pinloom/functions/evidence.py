@@ -60,4 +60,4 @@ def retry_after(header: Column, now: Column) -> Column:
     """Seconds to wait from a Retry-After header: a number, or a date after ``now``; null if it is neither."""
     seconds = F.when(header.rlike("^[0-9]+$"), header.cast("long"))
     when = F.try_to_timestamp(F.regexp_extract(header, r"^[A-Za-z]{3}, (.*) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
-    return F.coalesce(seconds, F.greatest(F.lit(0), F.unix_seconds(when) - F.unix_seconds(now)))
+    return F.coalesce(seconds, F.when(when.isNotNull(), F.greatest(F.lit(0), F.unix_seconds(when) - F.unix_seconds(now))))

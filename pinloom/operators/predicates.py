@@ -18,12 +18,12 @@ except ImportError:  # pragma: no cover
     import sre_parse as _p
 
 #: Endings of the languages, in the order in which they are tried. The first three match case as spelt.
-SUFFIXES = (
+SUFFIXES = [
     ("python", (".py",)), ("rust", (".rs",)), ("go", (".go",)), ("javascript", (".js", ".mjs", ".cjs")), ("typescript", (".ts", ".tsx")),
     ("java", (".java",)), ("c", (".c", ".h")), ("cpp", (".cc", ".cpp", ".cxx", ".hpp", ".hh")),
-)
+]
 EXACT_CASE = ("python", "rust", "go")
-MASKED = ("javascript", "typescript", "java", "c", "cpp")
+MASKED = ["javascript", "typescript", "java", "c", "cpp"]
 #: Java flags that make a pattern mean what it means in Python: Unicode classes, and only \\n ends a line.
 FLAGS = "(?Ud)"
 
@@ -110,6 +110,18 @@ IMPORTS = {"python": r"^\s*(?:import |from )", "rust": r"^\s*use ", "javascript"
 NAME = r"[A-Za-z_$][\w$]*"
 
 
+def register_language(language: str, endings: tuple[str, ...], definitions: tuple[str, ...], imports: str) -> None:
+    """Adds a language to the search: its text is masked, N in a definition stands for the name. Languages known here are closed, and a
+    language can be added once; patterns must mean the same to Spark as to Python."""
+    if any(language == name for name, _ in SUFFIXES) or any(e in known for e in endings for _, known in SUFFIXES):
+        raise ValueError(f"{language} or one of its endings is known")
+    if not endings or not all(e.startswith(".") for e in endings) or not definitions or not all(java_pattern(p.replace("N", "x")) for p in (*definitions, imports)):
+        raise ValueError("a language needs endings, and patterns that Spark can run")
+    SUFFIXES.append((language, tuple(endings)))
+    MASKED.append(language)
+    DEFINITIONS[language], IMPORTS[language] = tuple(definitions), imports
+
+
 def any_of(columns: list[Column]) -> Column:
     out = columns[0]
     for c in columns[1:]:

@@ -11,6 +11,7 @@ from pinloom.functions.spdx import IDS, canonical_spdx
 from pinloom.operators import discovery as V
 from pinloom.operators import ranking as R
 from pinloom.operators import symbols as Y
+from pinloom.operators.producers import produced
 from pinloom.plans.queries_analysis import files
 from pinloom.plans.queries_search import BLOBS, COLUMNS
 from pinloom.plans.registry import query
@@ -35,6 +36,12 @@ def python_edges(spark: SparkSession, d: str) -> DataFrame:
     return facts.select("slug", "path", F.substring("kind", 6, 100).alias("kind"), F.col("detail").alias("src"), F.col("value").alias("dst"), "line")
 
 
+@query("source_edges")
+def source_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The symbols, edges and unresolved references of all source files, by the producer of each language."""
+    return produced(files(spark, d))
+
+
 @query("adapter_agreement")
 def adapter_agreement(spark: SparkSession, d: str) -> DataFrame:
     """How far syntax and pattern agree on the lines that define functions and classes, per repository."""
