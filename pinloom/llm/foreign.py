@@ -103,13 +103,21 @@ _HASHES: dict[str, int] = {}
 
 
 def token_hashes(kinds: list[str]) -> np.ndarray:
-    return np.fromiter(map(_hash, kinds), np.uint64, len(kinds))
+    found = list(map(_HASHES.get, kinds))
+    if None in found:
+        found = list(map(_hash, kinds))
+    return np.array(found, np.uint64)
+
+
+_LINE_END = re.compile("\n")
+_NO_ITEM = frozenset([")", "]", "}", "NEWLINE", "DEDENT", "INDENT", "$", ";"])
 
 
 def items(file: Lexed) -> list[tuple[int, int]]:
     """The token spans of the top-level items: each begins at the left margin, closing brackets aside."""
-    text, tokens = file.text, file.tokens
-    starts = [i for i, (o, k) in enumerate(zip(tokens.offsets, tokens.kinds)) if (o == 0 or text[o - 1 : o] == "\n") and k not in (")", "]", "}", "NEWLINE", "DEDENT", "INDENT", "$", ";")]
+    tokens = file.tokens
+    margin = {0, *(m.end() for m in _LINE_END.finditer(file.text))}
+    starts = [i for i, (o, k) in enumerate(zip(tokens.offsets, tokens.kinds)) if o in margin and k not in _NO_ITEM]
     return list(zip(starts, [*starts[1:], len(tokens.kinds)]))
 
 

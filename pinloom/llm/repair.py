@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _SHIFT, _LOW = np.uint64(31), np.uint64((1 << 40) - 1)
@@ -72,8 +73,8 @@ def induce(sequences: list[np.ndarray]) -> Grammars:
         pair = mixed(symbols[:-1], symbols[1:])
         # a pair across two files counts for neither
         keyed = np.where(inner, mixed(pair, file[:-1].astype(np.uint64)), np.uint64(0))
-        _, inverse, times = np.unique(keyed, return_inverse=True, return_counts=True)
-        times = np.where(inner, times[inverse], 0)
+        inverse, _ = pd.factorize(keyed)
+        times = np.where(inner, np.bincount(inverse)[inverse], 0)
         most = np.zeros(count, dtype=np.int64)
         np.maximum.at(most, file[:-1], times)
         candidate = inner & (times >= np.maximum(2, (most[file[:-1]] + 1) // 2))
@@ -95,7 +96,10 @@ def induce(sequences: list[np.ndarray]) -> Grammars:
             close(every)
             break
         at = np.flatnonzero(taken)
-        _, first, uses = np.unique(keyed[at], return_index=True, return_counts=True)
+        code, distinct = pd.factorize(keyed[at])
+        uses = np.bincount(code)
+        first = np.empty(len(distinct), dtype=np.int64)
+        first[code[::-1]] = np.arange(len(code))[::-1]
         where = at[first]
         found.append((file[where], pair[where], span[where] + span[where + 1], uses))
         symbols[at] = pair[at]
