@@ -15,12 +15,13 @@ from pinloom.operators.producers import produced
 from pinloom.plans.queries_analysis import files
 from pinloom.plans.queries_search import BLOBS, COLUMNS
 from pinloom.plans.registry import query
+from pinloom.plans.search import run_benchmark, search_lines
 from pinloom.plans.sizing import shared_folder
-from pinloom.plans.spec import Predicate, SearchSpec
-from pinloom.sources.blobs import document_blobs
+from pinloom.plans.spec import Predicate, SearchSpec, required_capabilities
+from pinloom.sources.blobs import document_blobs, line_rows
 from pinloom.sources.manifests import bills_of_materials, dependency_edges
 from pinloom.sources.tables import table
-from pinloom.streaming.search import run_available, stream_matches
+from pinloom.streaming.search import read_matches, run_available, stream_matches
 
 
 @query("python_facts")
@@ -136,4 +137,29 @@ def streaming_search(spark: SparkSession, d: str) -> DataFrame:
     blobs = document_blobs(stream)
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     run_available(stream_matches(blobs, SearchSpec((Predicate("exact_text", "adapter"),))), f"{folder}/out", f"{folder}/state")
-    return spark.read.parquet(f"{folder}/out")
+    return read_matches(spark, f"{folder}/out")
+
+
+@query("line_search", f"WITH {BLOBS}, x AS (SELECT path AS p FROM l WHERE path NOT LIKE '%.js' GROUP BY path HAVING bool_or(contains(line, 'cache'))) SELECT {COLUMNS}, 1.0::DOUBLE AS score, ['exact_text'] AS matched_kinds FROM l WHERE contains(line, 'adapter') AND path NOT LIKE '%.js' AND path NOT IN (SELECT p FROM x)")
+def line_search(spark: SparkSession, d: str) -> DataFrame:
+    """A search over rows of lines, as blobs too large for one row arrive, in languages whose text needs no mask."""
+    lines = line_rows(document_blobs(table(spark, d, "documents")))
+    return search_lines(lines, SearchSpec((Predicate("exact_text", "adapter"),), must_not=(Predicate("exact_text", "cache"),)))
+
+
+@query("benchmark_run", f"""WITH {BLOBS}, t AS (SELECT 'adapter' AS task, {COLUMNS} FROM l WHERE contains(line, 'optional adapter') UNION ALL SELECT 'ledger', {COLUMNS} FROM l WHERE contains(line, 'optional ledger')),
+r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY slug, commit_sha, path, blob_sha, start_line, end_line) AS rank FROM t) SELECT task, slug, commit_sha, path, blob_sha, start_line, end_line, rank FROM r WHERE rank <= 10""")
+def benchmark_run(spark: SparkSession, d: str) -> DataFrame:
+    """The first ten results of each task of a benchmark, whose queries are known by their digests."""
+    blobs = document_blobs(table(spark, d, "documents"))
+    tasks = {name: SearchSpec((Predicate("exact_text", f"optional {name}"),)) for name in ("adapter", "ledger")}
+    return run_benchmark(blobs, [(name, spec, spec.digest()) for name, spec in tasks.items()])
+
+
+@query("capability_compilation", "SELECT * FROM (VALUES ('must', 'exact_text', true), ('must', 'identifier', true), ('must', 'regex', false), ('must_not', 'exact_text', false), ('should', 'identifier', true)) AS t(clause, kind, supported)")
+def capability_compilation(spark: SparkSession, d: str) -> DataFrame:
+    """What a query asks of an index, and whether one that knows texts and words can do it."""
+    word = Predicate("identifier", "ledger")
+    spec = SearchSpec((Predicate("exact_text", "a"), word, Predicate("regex", "x+")), should=(word,), must_not=(Predicate("exact_text", "b"),))
+    port = {("must", "exact_text"), ("must", "identifier"), ("should", "identifier")}
+    return spark.createDataFrame([(*c, c in port) for c in required_capabilities(spec)], "clause string, kind string, supported boolean")

@@ -6,11 +6,12 @@ file-level exclusions included, is one pass without a shuffle. Only the order of
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -185,3 +186,45 @@ def coverage(files: DataFrame) -> DataFrame:
     return counts.agg(eligible_count.alias("files_eligible"), (eligible_count - excluded).alias("files_indexed"), excluded.alias("files_excluded"), reasons.alias("exclusions")).withColumn(
         "status", F.when(F.col("files_excluded") == 0, "complete_for_declared_universe").otherwise("partial")
     )
+
+
+def search_lines(lines: DataFrame, spec: SearchSpec) -> DataFrame:
+    """The matches of a query over rows of lines (key, line_no, line), so that no blob need fit a row.
+
+    Musts, and excluded lines, are tested line by line in a narrow pass; a file-level exclusion or boost takes one aggregate over
+    keys of lines that hit. Languages whose text is masked before matching can't be told line by line and are left out, as are
+    whole-file musts, which raise ValueError, and patterns that only Python can run.
+    """
+    if spec.whole_file_must:
+        raise ValueError("a whole-file search needs whole files")
+    plain = tuple(x for x, _ in P.SUFFIXES if x not in P.MASKED)
+    every = [*spec.content_must, *spec.content_should, *spec.content_must_not]
+    tests = _tests(tuple(every), plain)
+    if any(kind == "python" for kind, _ in tests):
+        raise ValueError("a pattern over lines must be one that Spark can run")
+    files = eligible(lines, spec).where(F.col("language").isin(*plain))
+    hits = files.select(*KEY, F.col("line_no").alias("start_line"), *[F.coalesce(_hit(t, F.col("line"), F.col("line_no"), k), F.lit(False)).alias(f"_h{k}") for k, t in enumerate(tests)])
+    musts, shoulds, nots = range(len(spec.content_must)), range(len(spec.content_must), len(spec.content_must) + len(spec.content_should)), range(len(spec.content_must) + len(spec.content_should), len(every))
+    every_of = lambda ks: functools.reduce(lambda a, b: a & b, [F.col(f"_h{k}") for k in ks], F.lit(True))
+    found = hits.where(every_of(musts if spec.content_must else shoulds))
+    if nots and spec.must_not_lines:
+        found = found.where(~P.any_of([F.col(f"_h{k}") for k in nots]))
+    elif nots:
+        found = found.join(hits.where(P.any_of([F.col(f"_h{k}") for k in nots])).select(*KEY).distinct(), KEY, "left_anti")
+    kinds = [p.kind for p in every]
+    boost = F.when(every_of(shoulds), len({kinds[k] for k in shoulds})).otherwise(0) if shoulds else F.lit(0)
+    names = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.lit(kinds[k]) for k in musts], *[F.when(every_of(shoulds), F.lit(kinds[k])) for k in shoulds]))))
+    return found.select(*KEY, "start_line", F.col("start_line").alias("end_line"), (F.lit(len(spec.content_must)) + boost).cast("double").alias("score"), names.alias("matched_kinds"))
+
+
+def run_benchmark(blobs: DataFrame, tasks: list[tuple[str, SearchSpec, str]], k: int = 10) -> DataFrame:
+    """(task, identity, rank): the first ``k`` results of each task in their total order. A task's query must have the digest it is
+    stated with. Tasks are few and stated; the results of all are ranked at once, each partition keeping its own first ``k``."""
+    parts = []
+    for name, spec, digest in sorted(tasks, key=lambda t: t[0]):
+        if spec.digest() != digest:
+            raise ValueError(f"the query of {name} is another one")
+        parts.append(search(blobs, spec).matches.select(F.lit(name).alias("task"), *KEY, "start_line", "end_line", "score"))
+    order = Window.partitionBy("task").orderBy(F.col("score").desc(), *KEY, "start_line", "end_line")
+    ranked = functools.reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("task", *KEY, "start_line", "end_line", F.col("rank").cast("long").alias("rank"))

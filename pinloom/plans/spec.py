@@ -142,3 +142,13 @@ def translation(spec: SearchSpec) -> tuple[str, list[tuple[str, int, str, str, s
     if spec.languages:
         terms.append(f"language:{next(p.language for p in reversed(spec.must) if p.language)}")
     return " ".join(terms), rows
+
+
+def required_capabilities(spec: SearchSpec) -> list[tuple[str, str]]:
+    """The (clause, kind) pairs that an index must be able to answer for a query, each once, in order."""
+    return sorted({(clause, p.kind) for clause, items in (("must", spec.must), ("should", spec.should), ("must_not", spec.must_not)) for p in items})
+
+
+def refused(spec: SearchSpec, port: set[tuple[str, str]]) -> list[tuple[str, str]]:
+    """What a query asks of an index that this one can't do; a query is run there only if that is nothing."""
+    return [c for c in required_capabilities(spec) if c not in port]

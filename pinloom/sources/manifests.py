@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Names of the files that are read.
-NAMES = ("package-lock.json", "package.json", "Cargo.lock", "Cargo.toml", "go.mod", "requirements.txt", "pyproject.toml")
+NAMES = ("package-lock.json", "pnpm-lock.yaml", "yarn.lock", "package.json", "Cargo.lock", "Cargo.toml", "go.mod", "requirements.txt", "pyproject.toml")
 _GO_VERSION = re.compile(r"v[0-9]+\.[0-9]+\.[0-9]+(?:[-+][0-9A-Za-z.+-]+)?\Z")
 _PSEUDO = re.compile(r"-(?:0\.)?[0-9]{14}-([0-9a-f]{12})\Z")
 _PIN = re.compile(r"\s*([A-Za-z0-9][A-Za-z0-9._-]*)\s*==\s*([0-9][A-Za-z0-9.!+-]*)\s*(?:#.*)?\Z")
@@ -40,6 +40,56 @@ def _lock_tree(tree: object, out: list[Edge], notes: list[tuple[str, str]]) -> N
             work.append((x.get("dependencies"), f"{at}.{name}"))
 
 
+_PNPM = re.compile(r"  '?/?(@?[^@/'\s]+(?:/[^@/'\s]+)?)[@/]([0-9][^('\s:]*)[^:]*:\s*\Z")
+_INTEGRITY = re.compile(r"\s+(?:resolution:\s*\{.*?)?integrity:?\s+\"?([A-Za-z0-9+/=-]+)")
+
+
+def _pnpm(text: str) -> tuple[list[Edge], list[tuple[str, str]]]:
+    """The packages of a pnpm lock file, whose section has one key a package: /name/version or name@version."""
+    out: list[Edge] = []
+    notes: list[tuple[str, str]] = []
+    inside = False
+    for i, line in enumerate(text.splitlines(), 1):
+        if line and not line[0].isspace():
+            inside = line.startswith("packages:")
+        elif inside and re.match(r"  \S", line):
+            if m := _PNPM.match(line):
+                out.append(("npm", m[1], m[2], None, f"{m[1]}@{m[2]}"))
+            else:
+                notes.append((f"line:{i}", "unsupported"))
+        elif inside and out and out[-1][3] is None and (m := _INTEGRITY.match(line)):
+            out[-1] = (*out[-1][:3], m[1], out[-1][4])
+    return out, notes
+
+
+def _yarn(text: str) -> tuple[list[Edge], list[tuple[str, str]]]:
+    """The packages of a yarn lock file: a head of one or more specs, then indented fields, of which version and integrity count."""
+    out: list[Edge] = []
+    notes: list[tuple[str, str]] = []
+    names: list[str] = []
+    at, version, resolved = 0, None, None
+
+    def close() -> None:
+        if names and version:
+            out.append(("npm", names[0], version, resolved, f"{names[0]}@{version}"))
+        elif names:
+            notes.append((f"line:{at}", "malformed"))
+
+    for i, line in enumerate(text.splitlines(), 1):
+        if not line.strip() or line.startswith("#"):
+            continue
+        if not line[0].isspace():
+            close()
+            specs = [s.strip().strip('"') for s in line.rstrip(":").split(",")]
+            names, at, version, resolved = [s[: s.rfind("@")] for s in specs if s.rfind("@") > 0 and not s.startswith("__")], i, None, None
+        elif m := re.match(r"\s+version:?\s+\"?([^\"\s]+)\"?", line):
+            version = m[1]
+        elif m := re.match(r"\s+(?:integrity|checksum):?\s+\"?([^\"\s]+)\"?", line):
+            resolved = m[1]
+    close()
+    return out, notes
+
+
 def edges_of(name: str, text: str) -> tuple[str, list[Edge], list[tuple[str, str]]]:
     """(complete or direct-only, edges, notes on records that could not be read) of one file."""
     out: list[Edge] = []
@@ -84,6 +134,10 @@ def edges_of(name: str, text: str) -> tuple[str, list[Edge], list[tuple[str, str
             return "direct-only", out, notes
     except (ValueError, TypeError, AttributeError, RecursionError):
         return "direct-only", [], [("", "malformed")]
+    if name == "pnpm-lock.yaml":
+        return "complete", *_pnpm(text)
+    if name == "yarn.lock":
+        return "complete", *_yarn(text)
     if name == "go.mod":
         inside = False
         for i, raw in enumerate(text.splitlines(), 1):

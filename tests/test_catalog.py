@@ -15,10 +15,12 @@ from pinloom.operators import predicates as P
 from pinloom.operators import reports as Q
 from pinloom.operators import trigram as T
 from pinloom.operators.producers import Found, Registry, produced, scan
-from pinloom.plans.search import search
-from pinloom.plans.spec import Predicate, SearchSpec
+from pinloom.plans.search import run_benchmark, search, search_lines
+from pinloom.plans.spec import Predicate, SearchSpec, refused
 from pinloom.sources import catalog as K
+from pinloom.sources.blobs import line_rows
 from pinloom.sources.connectors import RecordedSearch, TreeSource, blob_sha
+from pinloom.sources.manifests import edges_of
 
 SHA = "a" * 40
 
@@ -190,3 +192,25 @@ def test_evidence_columns(spark):
     assert [tuple(r) for r in got] == [("MIT", "rate_limited", 30), ("Apache-2.0", "rate_limited", None), (None, "denied", None), (None, "retry", 60)]
     line = spark.createDataFrame([("aé日x", 2)], "line string, c int")
     assert [tuple(r) for r in line.select(E.byte_column(F.col("line"), F.col("c")), E.character_column(F.col("line"), F.lit(3)), E.character_column(F.col("line"), F.lit(2))).collect()] == [(3, 2, None)]
+
+
+def test_lock_files_of_pnpm_and_yarn():
+    pnpm = "lockfileVersion: 5.4\nspecifiers:\n  a: 1\npackages:\n\n  /left-pad/1.3.0:\n    resolution: {integrity: sha512-ab+/=}\n    dev: true\n\n  /@s/b@2.0.1(react@18.0.0):\n    dev: false\n  weird:\nother:\n  /x/1.0.0:\n"
+    assert edges_of("pnpm-lock.yaml", pnpm) == ("complete", [("npm", "left-pad", "1.3.0", "sha512-ab+/=", "left-pad@1.3.0"), ("npm", "@s/b", "2.0.1", None, "@s/b@2.0.1")], [("line:12", "unsupported")])
+    yarn = '# yarn lockfile v1\n\n"@s/b@^1.0.0", "@s/b@^1.1.0":\n  version "1.2.3"\n  resolved "https://x.invalid"\n  integrity sha512-xy\n\nleft-pad@1.x:\n  version "1.3.0"\n\nbroken@1:\n  dependencies:\n    a "1"\n'
+    assert edges_of("yarn.lock", yarn) == ("complete", [("npm", "@s/b", "1.2.3", "sha512-xy", "@s/b@1.2.3"), ("npm", "left-pad", "1.3.0", None, "left-pad@1.3.0")], [("line:11", "malformed")])
+    assert edges_of("yarn.lock", "") == ("complete", [], []) and edges_of("pnpm-lock.yaml", "packages:\n") == ("complete", [], [])
+
+
+def test_search_over_lines_is_the_search_over_blobs(spark):
+    blob = "slug string, commit_sha string, path string, blob_sha string, size long, content string"
+    df = spark.createDataFrame([("o/r", SHA, "a.py", "1", 1, "row x\nrow y\nz"), ("o/r", SHA, "b.go", "2", 1, "row x\n\nskip"), ("o/r", SHA, "c.js", "3", 1, "row"), ("o/r", SHA, "d.rs", "4", 1, ""), ("o/r", SHA, "e.txt", "5", 1, "row")], blob)
+    row, skip, x = Predicate("exact_text", "row"), Predicate("exact_text", "skip"), Predicate("identifier", "x")
+    for spec in (SearchSpec((row,)), SearchSpec((row,), must_not=(skip,)), SearchSpec((row,), should=(x,)), SearchSpec((row,), must_not=(x,), must_not_lines=True)):
+        want = rows(search(df.where("path <> 'c.js'"), spec).matches)
+        assert rows(search_lines(line_rows(df), spec)) == want and want
+    with pytest.raises(ValueError):
+        search_lines(line_rows(df), SearchSpec((row,), whole_file_must=True))
+    with pytest.raises(ValueError):
+        run_benchmark(df, [("t", SearchSpec((row,)), "0" * 64)])
+    assert refused(SearchSpec((row, x)), {("must", "exact_text")}) == [("must", "identifier")]
