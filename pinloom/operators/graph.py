@@ -168,3 +168,29 @@ def budgeted_closure(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, unres
 def nodes_of_symbols(symbols: DataFrame) -> DataFrame:
     """A node table from a symbol table: one donor node for each (kind, module, qualified_name)."""
     return symbols.where("qualified_name IS NOT NULL").select(F.lit("donor").alias("origin"), "kind", F.coalesce("module", F.lit("")).alias("module"), "qualified_name").distinct()
+
+
+def needed_names(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node, depth): the module-level names that seeds (node) need, directly or through others, along reads, calls, bases and constructions."""
+    kinds = ("reads", "calls", "inherits", "instantiates", "raises")
+    return reachable(edges.where(F.col("kind").isin(*kinds)).select("src", "dst"), seeds)
+
+
+def walk_tree(entries: DataFrame, root: DataFrame, max_depth: int = 64) -> DataFrame:
+    """(path, sha, mode): the files below root trees (tree), from entries (tree, name, kind tree or blob, sha, mode), level by level.
+
+    A tree deeper than ``max_depth`` raises ValueError. A path that two entries give is an error too, as in one tree names are unique.
+    """
+    entries = checkpointed(entries.distinct().repartition(partitions_for(entries), "tree"))
+    level = root.select(F.col("tree").alias("_t"), F.lit("").alias("_p")).distinct()
+    found = None
+    for _ in range(max_depth):
+        step = checkpointed(level.join(entries, F.col("_t") == F.col("tree")).select(F.concat("_p", "name").alias("path"), "kind", "sha", "mode"))
+        files = step.where("kind = 'blob'").select("path", "sha", "mode")
+        found = files if found is None else found.unionByName(files)
+        level = step.where("kind = 'tree'").select(F.col("sha").alias("_t"), F.concat("path", F.lit("/")).alias("_p"))
+        if level.isEmpty():
+            if not duplicates(found, ["path"]).isEmpty():
+                raise ValueError("a path stands twice in the tree")
+            return found
+    raise ValueError(f"a tree is deeper than {max_depth}")

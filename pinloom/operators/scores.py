@@ -139,3 +139,15 @@ def tiered_licenses(evidence: DataFrame, by: Sequence[str], tier: str, expressio
 def agreed(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """(by, agreed, files): the value if all rows of a group have the same, else null."""
     return rows.groupBy(*by).agg(F.when(F.min(value) == F.max(value), F.min(value)).alias("agreed"), F.count("*").alias("files"))
+
+
+def tool_ratio(documents: DataFrame, key: str, document: str, array: str, numerator: str, denominator: str, least_bps: int) -> DataFrame:
+    """(key, numerator, denominator, status) of a tool's JSON reports: sums over an array of records, pass from ``least_bps`` on.
+
+    A report that can't be read, or has nothing to count, is unknown.
+    """
+    items = F.try_variant_get(F.try_parse_json(F.col(document)), array, "array<variant>")
+    total = lambda path: F.aggregate(F.coalesce(items, F.array().cast("array<variant>")), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(F.try_variant_get(x, path, "long"), F.lit(0)))
+    sums = documents.select(key, total(numerator).alias("numerator"), total(denominator).alias("denominator"))
+    status = F.when(F.col("denominator") == 0, "unknown").when(F.col("numerator") * 10000 >= F.col("denominator") * least_bps, "pass").otherwise("fail")
+    return sums.withColumn("status", status)

@@ -33,6 +33,7 @@ class Facts(ast.NodeVisitor):
         self.module, self.out = module, []
         self.scopes: list[tuple[str, dict[str, set[str]], bool]] = [(module, {}, False)]  # name, bindings, whether a class
         self.handled: list[list[str]] = []
+        self.called: set[int] = set()
 
     def note(self, kind: str, value: str, node: ast.AST, detail: str | None = None) -> None:
         self.out.append((kind, value, node.lineno, node.col_offset, node.end_col_offset, detail))
@@ -152,6 +153,7 @@ class Facts(ast.NodeVisitor):
         if name := dotted(node.func):
             self.note("call", name, node.func, None)
         self.edge("calls", node.func)
+        self.called.add(id(node.func))
         self.generic_visit(node)
 
     def visit_Raise(self, node: ast.Raise) -> None:
@@ -174,6 +176,8 @@ class Facts(ast.NodeVisitor):
         if isinstance(node.ctx, ast.Load):
             found = self.lookup(node.id)
             self.note("symbol_reference", node.id, node, found[0] if found else "builtin" if hasattr(builtins, node.id) else "unknown")
+            if found and found[0] in ("constant", "function", "class", "external") and id(node) not in self.called:
+                self.note("edge:reads", found[1], node, self.here())
         else:
             self.note("symbol_definition", node.id, node, "assignment")
 
@@ -192,7 +196,7 @@ def fact_table(files: DataFrame) -> DataFrame:
     """Facts of Python files (slug, path, content): kind, value, line, columns and a detail; one parser_unavailable row for a file that does not parse.
 
     Kinds: symbol_definition, symbol_reference (detail: what the name is bound to), signature, import, call, unresolved, and
-    edge:imports, edge:inherits, edge:calls, edge:instantiates, edge:raises (value: the target, detail: the source).
+    edge:imports, edge:inherits, edge:calls, edge:instantiates, edge:reads, edge:raises (value: the target, detail: the source).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -357,3 +357,24 @@ def info_bundle(spark: SparkSession, d: str) -> DataFrame:
     licences = table(spark, d, "license_resolution").groupBy("slug").agg(F.count_distinct("expression").alias("licences"), F.min("expression").alias("first_licence"))
     files = table(spark, d, "verified_bytes").groupBy("slug").agg(F.count_distinct("path").alias("files"))
     return a.join(licences, "slug", "left").join(files, "slug", "left")
+
+
+@query("tree_walk", "SELECT DISTINCT path, 'b' || md5(path) AS sha FROM verified_bytes WHERE path IS NOT NULL")
+def tree_walk(spark: SparkSession, d: str) -> DataFrame:
+    """All files by a walk over directory entries, which are made of their paths here."""
+    parts = F.split("path", "/")
+    up = lambda k: F.concat(F.lit("t"), F.md5(F.array_join(F.slice(parts, 1, k), "/").cast("binary")))
+    own = F.struct(F.lit("blob").alias("kind"), F.concat(F.lit("b"), F.md5(F.col("path").cast("binary"))).alias("sha"), F.lit("100644").alias("mode"))
+    entry = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(up(k - 1).alias("tree"), F.get(parts, k - 1).alias("name"), F.when(k == F.size(parts), own).otherwise(F.struct(F.lit("tree").alias("kind"), up(k).alias("sha"), F.lit("040000").alias("mode"))).alias("e")))
+    entries = table(spark, d, "verified_bytes").where("path IS NOT NULL").select(F.inline(entry)).select("tree", "name", "e.*").distinct()
+    root = spark.range(1).select(F.concat(F.lit("t"), F.md5(F.lit("").cast("binary"))).alias("tree"))
+    return G.walk_tree(entries, root).select("path", "sha")
+
+
+@query("tool_evaluation", """WITH j AS (SELECT l_orderkey AS report, '{"files":[' || string_agg('{"covered":' || CAST(l_quantity AS INTEGER) || ',"total":' || (CAST(l_quantity AS INTEGER) + l_linenumber) || '}', ',' ORDER BY l_linenumber) || ']}' AS doc FROM lineitem GROUP BY l_orderkey), f AS (SELECT report, unnest(CAST(doc -> '$.files' AS JSON[])) AS x FROM j), s AS (SELECT report, sum(CAST(x ->> '$.covered' AS BIGINT)) AS n, sum(CAST(x ->> '$.total' AS BIGINT)) AS t FROM f GROUP BY report)
+SELECT report, CAST(n AS BIGINT) AS numerator, CAST(t AS BIGINT) AS denominator, CASE WHEN t = 0 THEN 'unknown' WHEN n * 10000 >= t * 8000 THEN 'pass' ELSE 'fail' END AS status FROM s""")
+def tool_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """Reports of a coverage tool, made of order lines, as ratio checks of at least 80 percent."""
+    part = F.to_json(F.struct(F.col("l_quantity").cast("int").alias("covered"), (F.col("l_quantity").cast("int") + F.col("l_linenumber")).alias("total")))
+    docs = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("report")).agg(F.concat(F.lit('{"files":['), F.array_join(F.collect_list(part), ","), F.lit("]}")).alias("doc"))
+    return C.tool_ratio(docs, "report", "doc", "$.files", "$.covered", "$.total", 8000)

@@ -63,7 +63,13 @@ def snippets(spark: SparkSession, d: str) -> DataFrame:
     return fenced.unionByName(whole)
 
 
-@query("fenced_snippets")
+_FENCED = r"""WITH d AS (SELECT doc_id, coalesce(path, 'unknown.md') AS path, text, doc_kind FROM documents WHERE text IS NOT NULL), x AS (SELECT doc_id, path, CASE WHEN text = '' THEN [] WHEN right(text, 1) = chr(10) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS ls FROM d WHERE contains(text, '```')),
+m AS (SELECT *, list_filter(range(1, len(ls) + 1), lambda i: regexp_matches(ls[i], '^[ ]{0,3}```')) AS marks FROM x), p AS (SELECT doc_id, path, ls, marks, unnest(range(1, len(marks) // 2 + 1)) AS k FROM m),
+c AS (SELECT doc_id, path, CAST(marks[2 * k - 1] + 1 AS INTEGER) AS line, lower(regexp_extract(ls[marks[2 * k - 1]], '```\s*([\w+#.-]*)', 1)) AS language, array_to_string(ls[marks[2 * k - 1] + 1 : marks[2 * k] - 1], chr(10)) AS code FROM p)
+SELECT * FROM c WHERE trim(code) <> '' UNION ALL SELECT doc_id, path, 1, '', text FROM d WHERE doc_kind = 'source' AND trim(text) <> ''"""
+
+
+@query("fenced_snippets", _FENCED)
 def fenced_snippets(spark: SparkSession, d: str) -> DataFrame:
     """The fenced code blocks of the documents."""
     return snippets(spark, d)

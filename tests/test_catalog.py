@@ -14,6 +14,7 @@ from pinloom.operators import graph as G
 from pinloom.operators import predicates as P
 from pinloom.operators import reports as Q
 from pinloom.operators import trigram as T
+from pinloom.operators.symbols import python_facts
 from pinloom.operators.producers import Found, Registry, produced, scan
 from pinloom.plans.search import run_benchmark, search, search_lines
 from pinloom.plans.spec import Predicate, SearchSpec, refused
@@ -214,3 +215,20 @@ def test_search_over_lines_is_the_search_over_blobs(spark):
     with pytest.raises(ValueError):
         run_benchmark(df, [("t", SearchSpec((row,)), "0" * 64)])
     assert refused(SearchSpec((row, x)), {("must", "exact_text")}) == [("must", "identifier")]
+
+
+def test_tree_walk(spark):
+    entry = "tree string, name string, kind string, sha string, mode string"
+    rows_ = [("r", "a", "blob", "1", "100644"), ("r", "d", "tree", "t", "040000"), ("t", "b", "blob", "2", "100755"), ("t", "e", "tree", "u", "040000"), ("u", "c", "blob", "3", "120000"), ("x", "y", "blob", "4", "100644")]
+    root = spark.createDataFrame([("r",)], "tree string")
+    df = spark.createDataFrame([*rows_, rows_[0]], entry)
+    assert rows(G.walk_tree(df, root)) == [("a", "1", "100644"), ("d/b", "2", "100755"), ("d/e/c", "3", "120000")]
+    for more, depth in (((("r", "a", "blob", "9", "100644"),), 64), ((), 2), ((("u", "z", "tree", "r", "040000"),), 10)):
+        with pytest.raises(ValueError):
+            G.walk_tree(spark.createDataFrame([*rows_, *more], entry), root, depth)
+    assert G.walk_tree(df.limit(0), root).count() == 0
+
+
+def test_reads_are_edges():
+    facts = python_facts("m", b"LIMIT = 3\ndef helper(x):\n    return x + LIMIT\ndef run():\n    f = helper\n    return helper(LIMIT)\n")
+    assert [(v, d) for k, v, _, _, _, d in facts if k == "edge:reads"] == [("m.LIMIT", "m.helper"), ("m.helper", "m.run"), ("m.LIMIT", "m.run")]
