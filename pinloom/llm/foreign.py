@@ -132,22 +132,26 @@ def tightness(tokens) -> tuple[int, int]:
     return signs, spaced
 
 
-def literal_pieces(tokens) -> tuple[list[str], int, int, int]:
-    """The literals in short pieces; their characters; values (literals of one line); all words."""
+def literal_facts(tokens) -> tuple[int, int, int]:
+    """Characters in literals; values (literals of one line); all words."""
+    literals = [t for k, t in zip(tokens.kinds, tokens.texts) if k in LITERALS]
+    words = len(literals) + sum(k[0].isalpha() and k not in LITERALS and k not in _LAYOUT for k in tokens.kinds)
+    return sum(map(len, literals)), sum("\n" not in t for t in literals), words
+
+
+def literal_pieces(tokens) -> list[str]:
+    """The literals in short pieces."""
     pieces: list[str] = []
-    chars = values = words = 0
     for k, t in zip(tokens.kinds, tokens.texts):
         if k in LITERALS:
-            chars += len(t)
-            words += 1
-            values += "\n" not in t
             if len(t) <= PIECE:
                 pieces.append(t)
             else:
                 pieces += [t[a : a + PIECE] for a in range(0, len(t), PIECE)]
-        elif k[0].isalpha() and k not in ("NEWLINE", "INDENT", "DEDENT"):
-            words += 1
-    return pieces, chars, values, words
+    return pieces
+
+
+_LAYOUT = frozenset(["NEWLINE", "INDENT", "DEDENT"])
 
 
 def is_code(kinds: list[str]) -> bool:
@@ -168,7 +172,7 @@ def classify(evidence: dict) -> tuple[str, str]:
     e = evidence
     said = DENIED.sub(" ", e["note"])
     ratio = e["structure"] / expected_size(e["tokens"])
-    dense, repeated = e["literal"] >= INCOMPRESSIBLE, ratio < REPEATED
+    dense, repeated = (e["literal"] or 0.0) >= INCOMPRESSIBLE, ratio < REPEATED
     table = not e["code"] and e["values"] >= TABLE_VALUES and e["values"] >= TABLE_PART * e["words"]
     if dense and e["literal_part"] >= BLOB_PART and e["literal_chars"] >= BLOB_CHARS or table and (dense or repeated):
         return "data", "literals"
@@ -229,15 +233,19 @@ def facts(df: DataFrame, key: str, path: str, content: str, slug: Column, judge_
     def flush(held: list[tuple]) -> Iterator[tuple]:
         files = [h[5] for h in held]
         structures = induce([token_hashes(f.tokens.kinds) for f in files]).size().tolist()
-        literals = [literal_pieces(f.tokens) for f in files]
-        literal_sizes = induce([token_hashes(p[0]) for p in literals]).size().tolist()
+        counts = [literal_facts(f.tokens) for f in files]
+        parts = [c[0] / max(sum(map(len, "".join(f.tokens.texts).split())), 1) for c, f in zip(counts, files)]
+        code = [is_code(f.tokens.kinds) for f in files]
+        # only a file without code, or of almost nothing but literals, can be data; others need no grammar of their literals
+        literal = {f: None for f in range(len(files))}
+        bare = [f for f in literal if not code[f] or parts[f] >= BLOB_PART]
+        literal.update(zip(bare, induce([token_hashes(literal_pieces(files[f].tokens)) for f in bare]).size().tolist() if bare else []))
         rules = _item_rules(files)
-        for (i, s, language, directory, name, file), structure, (pieces, chars, values, words), literal, (own, spans) in zip(held, structures, literals, literal_sizes, rules):
+        for f, ((i, s, language, directory, name, file), structure, (chars, values, words), (own, spans)) in enumerate(zip(held, structures, counts, rules)):
             raw = notes(file, language)
-            solid = sum(map(len, "".join(file.tokens.texts).split()))
             signs, spaced = tightness(file.tokens)
             tokens = len(file.tokens.kinds)
-            found = (tokens, structure, literal, is_code(file.tokens.kinds), values, words, chars / max(solid, 1), chars, signs, spaced, directory, name)
+            found = (tokens, structure, literal[f], code[f], values, words, parts[f], chars, signs, spaced, directory, name)
             evidence = dict(zip(_KEYS, found)) | {"note": _MARKS.sub("", raw), "raw_note": raw, "shared": 0.0}
             kind, why = classify(evidence)
             copied, _ = classify(evidence | {"shared": 1.0})
@@ -290,7 +298,8 @@ def foreign_files(df: DataFrame, key: str = "file_id", path: str = "path", conte
     """The class of each source file: generated, minified, vendored, data, hand-written, or invalid if it doesn't parse.
 
     Columns: ``key``, slug, language, valid, class, decided_by (literals, spacing, directory, note, name, reused rules or shared
-    rules), tokens, structure and literal (symbols of the Re-Pair grammars per token and piece), shared_part (part of the tokens
+    rules), tokens, structure and literal (symbols of the Re-Pair grammars per token and piece, the latter only
+    for files that may be data), shared_part (part of the tokens
     in rules shared with other repositories, for files whose class depends on it). Files that claim no source language, and null
     contents and paths, give no row; an empty file is hand-written where its language allows it. Repeated rows count once; other
     columns are ignored. Without ``judge_all`` files that look hand-written aren't parsed, and their ``valid`` is null.
