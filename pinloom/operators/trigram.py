@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pinloom.operators.predicates import MASKED, _c, _p, language_of
+from pinloom.operators.predicates import _c, _p
 from pinloom.plans.search import Report, coverage, search, searched
 from pinloom.plans.sizing import partitions_for, small_enough
 from pinloom.plans.spec import Predicate, SearchSpec
@@ -35,7 +35,8 @@ def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes.append(np.unique((b[:-2] << 16) | (b[1:-1] << 8) | b[2:]) if len(b) > 2 else np.zeros(0, np.int32))
         offsets = np.concatenate([[0], np.cumsum([len(c) for c in codes])]).astype(np.int32)
         flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in KEY], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))], names=[*KEY, "_grams"])
+        size = [(batch.column("size"), "size")] if "size" in batch.schema.names else []
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in KEY], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())), *[c for c, _ in size]], names=[*KEY, "_grams", *[n for _, n in size]])
 
 
 def index(blobs: DataFrame) -> DataFrame:
@@ -73,25 +74,23 @@ def _set_digest(docs: DataFrame) -> DataFrame:
     return hashed
 
 
-def _code_rows(blobs: DataFrame) -> DataFrame:
-    source = blobs.select(*KEY, F.col("content").cast("binary").alias("content"))
-    return source.mapInArrow(_codes, ", ".join(f"{c} string" for c in KEY) + ", _grams array<int>")
-
-
 def write_index(blobs: DataFrame, folder: str) -> dict:
-    """Writes the index of blobs (distinct keys) below a folder and returns its manifest. Documents get numbers; postings hold these.
+    """Writes the index of blobs below a folder and returns its manifest. Repeated keys count once.
 
-    The manifest is written last: a folder without one is no index. An existing index is replaced.
+    Each document's grams are made once and written with its number; documents and postings are read from there. The manifest is
+    written last: a folder without one is no index. An existing index is replaced.
     """
     spark = blobs.sparkSession
-    docs = blobs.where("content IS NOT NULL").select(*KEY, "size").distinct().withColumn("doc", F.monotonically_increasing_id())
-    docs.write.mode("overwrite").parquet(f"{folder}/documents")
-    stored = spark.read.parquet(f"{folder}/documents")
-    coded = _code_rows(blobs.where("content IS NOT NULL")).join(stored.select(*KEY, "doc"), KEY)
-    rows = coded.select("doc", F.explode("_grams").alias("code")).distinct().withColumn("bucket", F.col("code") % BUCKETS)
-    rows.repartition(partitions_for(blobs, per_byte=4.0), "bucket").sortWithinPartitions("bucket", "code").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-    count = spark.read.parquet(f"{folder}/postings").count()
-    manifest = _set_digest(stored).withColumn("postings", F.lit(count)).withColumn("version", F.lit("trigrams-1"))
+    source = blobs.where("content IS NOT NULL").select(*KEY, F.col("content").cast("binary").alias("content"), "size")
+    ddl = ", ".join(f"{c} string" for c in KEY) + ", _grams array<int>, size long"
+    coded = source.mapInArrow(_codes, ddl).dropDuplicates(KEY).withColumn("doc", F.monotonically_increasing_id())
+    coded.write.mode("overwrite").parquet(f"{folder}/grams")
+    stored = spark.read.parquet(f"{folder}/grams")
+    stored.select(*KEY, "size", "doc").write.mode("overwrite").parquet(f"{folder}/documents")
+    rows = stored.select("doc", F.explode("_grams").alias("code")).withColumn("bucket", F.col("code") % BUCKETS)
+    rows.repartition(partitions_for(blobs, per_byte=2.0), "bucket").sortWithinPartitions("bucket", "code").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    count = stored.agg(F.coalesce(F.sum(F.size("_grams")), F.lit(0)).cast("long").alias("postings"))
+    manifest = _set_digest(spark.read.parquet(f"{folder}/documents")).join(F.broadcast(count)).withColumn("version", F.lit("trigrams-1"))
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
     return open_index(spark, folder).manifest
 
@@ -179,8 +178,7 @@ def indexed_search(blobs: DataFrame, grams: DataFrame | StoredIndex, spec: Searc
     if chosen is None:
         return search(blobs, spec)
     chosen = F.broadcast(chosen) if small_enough(chosen) else chosen
-    masked = F.coalesce(language_of(F.col("path")).isin(*MASKED), F.lit(False))
     # a path holds one blob, so the others' SHAs need not be made
-    few = blobs.where(~masked).join(chosen.select(*KEY[:3]), KEY[:3], "left_semi")
-    found = search(few.unionByName(blobs.where(masked)), spec)
-    return Report(found.matches, coverage(searched(blobs, spec)), spec.digest())
+    few = blobs.join(chosen.select(*KEY[:3]), KEY[:3], "left_semi")
+    found = search(few, spec, masks=False).matches.unionByName(search(blobs, spec, masks=True).matches)
+    return Report(found, coverage(searched(blobs, spec)), spec.digest())

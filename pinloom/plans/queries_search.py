@@ -163,17 +163,17 @@ def index_equals_scan(spark: SparkSession, d: str) -> DataFrame:
     return T.indexed_search(document_blobs(table(spark, d, "documents")), stored_index(spark, d), plain(_NEEDLE)).matches
 
 
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple[str, str], T.StoredIndex] = {}
 
 
 def stored_index(spark: SparkSession, d: str) -> T.StoredIndex:
-    """The written index of the documents; written once in a session, opened and checked every time."""
+    """The written index of the documents; written, opened and checked once in a session."""
     blobs, place = document_blobs(table(spark, d, "documents")), (spark.sparkContext.applicationId, d)
     if place not in _STORED:
         folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
         T.write_index(blobs, folder)
-        _STORED[place] = folder
-    return T.open_index(spark, _STORED[place])
+        _STORED[place] = T.open_index(spark, folder)
+    return _STORED[place]
 
 
 @query("index_manifest", f"WITH {BLOBS}, u AS (SELECT DISTINCT slug, commit_sha, path, blob_sha, size, text FROM b), g AS (SELECT DISTINCT slug, path, encode(text)[i:i + 2] AS gram FROM u, range(1, 200000) AS t(i) WHERE i <= size - 2) SELECT (SELECT count(*) FROM u) AS documents, (SELECT count(*) FROM g) AS postings, 'trigrams-1' AS version")

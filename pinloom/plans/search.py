@@ -159,20 +159,20 @@ def searched(blobs: DataFrame, spec: SearchSpec) -> DataFrame:
     return eligible(blobs, spec).withColumn("excluded", reason.when((F.col("size") > LARGE) & (longest > LONG_LINE), "parser_unavailable"))
 
 
-def search(blobs: DataFrame, spec: SearchSpec) -> Report:
+def search(blobs: DataFrame, spec: SearchSpec, masks: bool | None = None) -> Report:
     """Runs a query over blobs (slug, commit_sha, path, blob_sha, size, content).
 
     Matches: the blob's key, start_line, end_line, score, matched_kinds; one row for each matching line. A blob that can't be
     searched is excluded and makes the report partial. Blobs without a path are not eligible. Repeated blobs give repeated
-    matches, which ``dedup_matches`` settles; other columns are ignored.
+    matches, which ``dedup_matches`` settles; other columns are ignored. ``masks`` restricts the search to languages whose text is
+    masked, or to the others.
     """
     files = searched(blobs, spec)
     ready = files.where("excluded IS NULL")
     languages = spec.languages or tuple(name for name, _ in P.SUFFIXES)
-    plain = tuple(x for x in languages if x not in P.MASKED)
-    masks = tuple(x for x in languages if x in P.MASKED)
-    parts = [_branch(ready, spec, names, m) for names, m in ((plain, False), (masks, True)) if names]
-    matches = parts[0]
+    sides = {False: tuple(x for x in languages if x not in P.MASKED), True: tuple(x for x in languages if x in P.MASKED)}
+    parts = [_branch(ready, spec, names, m) for m, names in sides.items() if names and masks in (None, m)]
+    matches = parts[0] if parts else _branch(ready.where("false"), spec, languages, False)
     for p in parts[1:]:
         matches = matches.unionByName(p)
     return Report(matches, coverage(files), spec.digest())
