@@ -23,6 +23,7 @@ _TOKEN = re.compile(
     |(?P<cont>\\\r?\n|\\\r)|(?P<NL>\r\n|\r|\n)|(?P<comment>\#[^\r\n]*))""",
     re.X,
 )
+_WORD = re.compile(r"\w+")
 _PREFIX = re.compile(r"(?:[rR][bBfF]?|[bBfF][rR]?|[uU])\Z")
 _BODY = {q: re.compile(rf"(?:[^\\{q[0]}]|\\.)*+{q}" if len(q) == 3 else rf"(?:[^\\{q}\r\n]|\\(?:\r\n|.))*+{q}", re.S) for q in ("'", '"')}
 _BODY |= {q: re.compile(rf"(?:[^\\{q[0]}]|\\.|{q[0]}{{1,2}}(?!{q[0]}))*+{q}", re.S) for q in ("'''", '"""')}
@@ -94,6 +95,8 @@ class Lexer:
                     continue
                 if s[at] == "\\" and (m2 := _TOKEN.match(s, at)) and m2.lastgroup == "cont":
                     pos = m2.end()
+                    if pos >= n:
+                        raise LexError(n, "continuation")
                     continue
                 blank = m.group()
                 # spaces alone count one each
@@ -137,13 +140,16 @@ class Lexer:
                 continue
             if kind == "NAME":
                 word, end = m.group(kind), m.end()
-                if word.isascii() and s[end : end + 1] not in ("'", '"'):
+                follow = s[end : end + 1]
+                if word.isascii() and follow not in ("'", '"') and follow <= "\x7f":
                     kinds.append(word if word in KEYWORDS else "NAME"), texts.append(word), offsets.append(m.start(kind))
                     pos = end
                     continue
             if not m and _BLANK.match(s, pos).end() >= n:
                 break
             kind, pos = self.one(pos, stack)
+            if kind == "cont" and pos >= n:
+                raise LexError(n, "continuation")
             if kind == "NL" and not stack:
                 self.add("NEWLINE", "", pos)
                 fresh = True
@@ -166,6 +172,11 @@ class Lexer:
             quote = s[end : end + 1]
             if quote and quote in "'\"" and len(word) <= 2 and _PREFIX.match(word):
                 return "STR", self.string(pos, end, word.lower())
+            # marks that go on an identifier are no word characters to a pattern
+            while s[end : end + 1] > "\x7f" and (word + s[end]).isidentifier():
+                word, end = word + s[end], end + 1
+                if more := _WORD.match(s, end):
+                    word, end = word + more.group(), more.end()
             if not word.isascii() and not word.isidentifier():
                 word = unicodedata.normalize("NFKC", word)
                 if not word.isidentifier():
@@ -407,7 +418,8 @@ def decode(data: bytes) -> str | None:
             break
         if m := _COOKIE.match(line):
             name = m[1].decode("ascii", "replace")
-            if bom and name.lower().replace("_", "-") not in ("utf-8", "utf8"):
+            # beside the mark only this spelling is accepted, whatever else means the same
+            if bom and not re.match(r"utf-8(-|\Z)", name.lower().replace("_", "-")):
                 return None
             break
     try:

@@ -125,7 +125,7 @@ def cause_of(language: str, text: str, tokens: Tokens, furthest: int, place: int
                 except RecursionError:
                     pass
     kind = tokens.kinds[furthest]
-    if kind == "$" or (kind == "BAD" and tokens.problem in ("string", "comment", "bracket") and place >= len(text.rstrip()) - 1):
+    if kind == "$" or (kind == "BAD" and tokens.problem in ("string", "comment", "bracket", "continuation") and place >= len(text.rstrip()) - 1):
         return "truncated"
     return f"lexical_{tokens.problem}" if kind == "BAD" else "syntax"
 

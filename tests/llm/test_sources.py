@@ -46,6 +46,8 @@ def test_grammars():
     assert P.parse("python", b"\xef\xbb\xbfx = 1\r\n").valid and P.parse("python", "# coding: latin-1\nx = 'é'\n".encode("latin-1")).valid
     assert P.parse("javascript", b"\xff").cause == "encoding" and P.parse("go", b"import os\nx = 1\ny = 2\n").cause == "other_language"
     assert P.parse("python", b"x = 1\n<<<<<<< a\ny\n=======\n").cause == "merge_conflict" and P.parse("rust", b"fn f() {").cause == "truncated"
+    for text, want in (("x\\\n", False), ("\\\n", False), ("x = 1 + \\\n2\n", True), ("x\U000e0100 = 1\nका = x\u0301y\n", True), ("x = \u0301\n", False)):
+        assert P.parse("python", text.encode()).valid == want, text
     deep = b"(" * 150 + b"1" + b")" * 150
     assert P.parse("python", deep).valid and P.parse("javascript", deep).valid and not P.parse("json", b"[" * 50_000).valid
 
