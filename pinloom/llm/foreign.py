@@ -133,10 +133,10 @@ def tightness(tokens) -> tuple[int, int]:
 
 
 def literal_facts(tokens) -> tuple[int, int, int]:
-    """Characters in literals; values (literals of one line); all words."""
+    """Characters in literals, blanks aside; values (literals of one line); all words."""
     literals = [t for k, t in zip(tokens.kinds, tokens.texts) if k in LITERALS]
     words = len(literals) + sum(k[0].isalpha() and k not in LITERALS and k not in _LAYOUT for k in tokens.kinds)
-    return sum(map(len, literals)), sum("\n" not in t for t in literals), words
+    return sum(map(len, "".join(literals).split())), sum("\n" not in t for t in literals), words
 
 
 def literal_pieces(tokens) -> list[str]:
